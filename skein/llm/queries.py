@@ -29,3 +29,23 @@ def op7(spark, sf):
     from skein.llm.ngram_join import ngram_join
 
     return ngram_join(table(spark, sf, "documents"), k=4, num=85, den=100)
+
+
+@query("op8_substring_dedup")
+def op8(spark, sf):
+    from pyspark.sql import functions as F
+
+    from skein.llm.substring_dedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf, "documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+@query("op3_line_dedup")
+def op3(spark, sf):
+    from pyspark.sql import functions as F
+
+    from skein.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf, "documents"), k=5, num=4, den=5)
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
