@@ -49,3 +49,22 @@ def op3(spark, sf):
 
     out = dedup_lines(table(spark, sf, "documents"), k=5, num=4, den=5)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op2_toxicity")
+def op2(spark, sf):
+    from skein.llm.toxicity import held_out, score_documents
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = score_documents(docs, table(spark, sf, "labels"), threshold=0.3)
+    return out.select("doc_id", held_out().alias("held_out"), out["_score"].alias("score"), out["_predicted"].alias("predicted"))
+
+
+@query("op6_language_id")
+def op6(spark, sf):
+    from skein.llm.language_id import identify
+    from skein.llm.toxicity import held_out
+
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    out = identify(docs.select("doc_id", "text"), docs.filter(~held_out()))
+    return out.select("doc_id", held_out().alias("held_out"), out["_lang"].alias("lang_pred"), out["_score"].alias("score"))
