@@ -68,3 +68,32 @@ def op6(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     out = identify(docs.select("doc_id", "text"), docs.filter(~held_out()))
     return out.select("doc_id", held_out().alias("held_out"), out["_lang"].alias("lang_pred"), out["_score"].alias("score"))
+
+
+@query("op1_chat_format")
+def op1(spark, sf):
+    from skein.llm.chat_format import format_conversations, read_back
+
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(turns.unionByName(extra)))
+
+
+@query("op5_best_fit_packing")
+def op5(spark, sf):
+    import public_tokenizers
+
+    from skein.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+@query("op10_sharding")
+def op10(spark, sf):
+    from pyspark.sql import functions as F
+
+    from skein.llm.sharding import shard_by_bytes
+
+    out = shard_by_bytes(table(spark, sf, "documents"), shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
