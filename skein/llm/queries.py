@@ -97,3 +97,10 @@ def op10(spark, sf):
 
     out = shard_by_bytes(table(spark, sf, "documents"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op4_embedding_dedup")
+def op4(spark, sf):
+    from skein.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf, "embeddings"), threshold=0.93)
