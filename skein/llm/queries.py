@@ -104,3 +104,10 @@ def op4(spark, sf):
     from skein.llm.embedding_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf, "embeddings"), threshold=0.93)
+
+
+@query("op9_decontaminate")
+def op9(spark, sf):
+    from skein.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=5, similarity=0.8)
