@@ -1,7 +1,80 @@
-"""placeholder"""
+"""A training corpus from raw documents, in five stages.
+
+toxicity (rejected documents go) -> line dedup (later near-duplicate lines go, and documents of
+which no line is left) -> n-gram Jaccard join (the smallest id of each group stays) -> benchmark
+decontamination (documents that hold an item go) -> best-fit packing. Every stage reads what the
+one before wrote as Parquet; all but the last return the columns of `documents`.
+
+Null ids and texts pass the filters (nothing speaks against them), an empty table gives empty
+results, and extra columns travel along.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.llm.decontaminate import find_leaks
+from skein.llm.line_dedup import dedup_lines
+from skein.llm.ngram_join import ngram_join
+from skein.llm.packing import pack_documents
+from skein.llm.toxicity import score_documents
+from skein.runtime import Scratch
+
+REJECT = 0.3  # score from which a document counts as toxic
+CAPACITY = 1024
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below REJECT."""
+    scored = score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), REJECT)
+    return scored.filter(F.col("_score") < REJECT).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later near-duplicate lines; n_chars follows the text."""
+    out = dedup_lines(docs, k=5, num=4, den=5)
+    out = out.filter((F.col("_n_removed") == 0) | (F.regexp_replace("text", r"[\x20\x09-\x0D]+", "") != "") | F.col("text").isNull())
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def ngram_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates."""
+    groups = Scratch(spark).cut(ngram_join(docs, k=5, num=80, den=100))
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep"))
+    ids = kept.distinct()
+    out = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    # rows that repeat an id are one group; a distinct over texts runs only if there are such rows
+    repeats = kept.filter("_keep is not null").groupBy("_keep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return out if repeats.isEmpty() else out.dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item was found."""
+    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, similarity=0.8)
+    gone = leaks.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, end_id=2)
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("ngram_join", ngram_dedup), ("decontamination", decontamination), ("packing", packing)]
+
+#: The stages hold learned and iterative steps that SQL cannot express; tests check them instead.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's rows are written and read again."""
+    scratch = Scratch(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = scratch.cut(stage(spark, docs, sf_dir))
+    return docs
