@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from skein.runtime import Scratch
 
 _PAIR = "a long, b long"
+#: Links that one task may reduce to a forest.
+PER_TASK = 500_000
 
 
 def forest(batches):
@@ -34,14 +36,19 @@ def forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(roots[keep])], names=["a", "b"])
 
 
-def components(links: DataFrame, scratch: Scratch, max_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, max_rounds: int = 40, per_task: int = PER_TASK) -> DataFrame:
     """(node, root): for every linked node the smallest node of its component.
 
-    Tasks first shrink their links to forests. Then large-star and small-star steps alternate
+    Tasks first shrink their links, at most about per_task each, to forests; if one task was
+    enough, its forest is the answer. Otherwise large-star and small-star steps alternate
     until the links stop changing. Least neighbours are partial aggregates written to a table,
     so the join back has plain scans on both sides and a hot node's rows can be split.
     """
-    edges = scratch.cut(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b").mapInArrow(forest, _PAIR).distinct())
+    links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
+    tasks = -(-links.count() // per_task) or 1
+    edges = scratch.cut(links.repartition(tasks).mapInArrow(forest, _PAIR))
+    if tasks == 1:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     mark = None
     for _ in range(max_rounds):
         both = scratch.cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))

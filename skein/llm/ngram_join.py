@@ -45,8 +45,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = cut(join.star_candidates())
     links = join.verified(stars)
     groups = cut(components(links, join.scratch).select(F.col("node").alias("cid"), F.col("root").alias("grp")))
-    rest = join.verified(join.rest_candidates(groups, stars, either=True))
-    roots = cut(components(links.unionByName(rest), join.scratch))
+    rest = cut(join.rest_candidates(groups, stars, either=True))
+    roots = groups.select(F.col("cid").alias("node"), F.col("grp").alias("root"))
+    if not rest.isEmpty():
+        roots = cut(components(links.unionByName(join.verified(rest)), join.scratch))
     named = join.classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "doc", F.coalesce("root", "cid").alias("root"))
     named = cut(named)
     label = cut(named.groupBy("root").agg(F.min("doc").alias("component")))
