@@ -99,7 +99,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
             sums = np.cumsum(size)
             first = np.flatnonzero(new)
             base = np.full(len(k), run, np.int64)
-            for i, j in zip(first, np.append(first[1:], len(k)), strict=True):
+            for i, j in zip(first, np.append(first, len(k))[1:], strict=True):  # rows before the first go on from the last batch
                 base[i:j] = starts[int(k[i])] - (sums[i - 1] if i else 0)
             end = base + sums
             now, run = k[-1], end[-1]
