@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from skein.runtime import Scratch
 
-#: Distinct words whose ids a worker keeps.
-CACHE = 400_000
+#: Distinct words whose ids a worker keeps in each of two generations.
+CACHE = 500_000
 #: White space of the tokenizer's pattern beyond ASCII's; texts that hold it are not cut into words.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _UNIT = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
@@ -42,9 +42,21 @@ class _Ids(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> None:
+        """Add words; a full generation becomes the old one, whose words return when they are met again."""
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+        old = self.old
+        self.update((w, old[w]) for w in words if w in old)
+        new = [w for w in words if w not in self]
+        self.update(zip(new, self.encode(new), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # the former leaves out offsets
+        return [np.array(e.ids, "<u4").tobytes() for e in batch(texts, add_special_tokens=False)]
 
 
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
@@ -56,14 +68,10 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
         _held[path] = _Ids(path)
     ids: _Ids = _held[path]
     units = [None if _ODD.search(t) else _UNIT.findall(t) for t in texts]
-    new = {u for x in units if x is not None for u in x if u not in ids}
-    if len(ids) + len(new) > CACHE:
-        ids.clear()
-        new = {u for x in units if x is not None for u in x}
-    new = sorted(new)
-    ids.update(zip(new, ids.encode(new), strict=True))
+    met = set().union(*[u for u in units if u is not None])
+    ids.learn(met if len(ids) > CACHE else met - ids.keys())
     odd = iter(ids.encode([t for t, u in zip(texts, units, strict=True) if u is None]))
-    return [next(odd) if u is None else b"".join([ids[w] for w in u]) for u in units]
+    return [next(odd) if u is None else b"".join(map(ids.__getitem__, u)) for u in units]
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str, end_id: int) -> DataFrame:
