@@ -76,11 +76,11 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, k: int, num: int,
 
     stars = cut(join.star_candidates())
     matched = cut(later(join.verified(stars)))
-    open_ = cut(join.classes.join(matched, "cid", "left_anti").select("cid", F.col("cid").alias("grp")))
-    rest = cut(join.rest_candidates(open_, stars, either=False))
+    rest = cut(join.rest_candidates(matched.withColumn("grp", F.col("cid")), stars, either=False))
     if not rest.isEmpty():
         matched = cut(matched.unionByName(later(join.verified(rest))).distinct())
-    firsts = cut(join.classes.select("cid", F.col("doc").alias("fdoc"), F.col("line").alias("fline")).join(matched.withColumn("hit", F.lit(True)), "cid", "left"))
+    firsts = join.classes.select("cid", "size", F.col("doc").alias("fdoc"), F.col("line").alias("fline"))
+    firsts = cut(firsts.join(matched.withColumn("hit", F.lit(True)), "cid", "left").filter("hit or size > 1").drop("size"))
     gone = join.members.filter("n > 0").join(firsts, "cid").filter(F.col("hit") | (F.col("doc") != F.col("fdoc")) | (F.col("line") != F.col("fline")))
     return cut(gone.groupBy("doc").agg(F.collect_set(F.struct("line", "cid")).alias("gone")))
 

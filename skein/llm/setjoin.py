@@ -29,6 +29,8 @@ SKETCH_BITS = 24
 HOT = 10
 #: Candidates that one tree holds.
 TREE = 512
+#: Mean tokens a record from which records are cut one by one.
+LONG = 200
 NO_ID = -(1 << 63)
 
 #: Batch (doc, text) -> (row of the batch, line, hashes, first hash of each record); whole texts.
@@ -61,6 +63,19 @@ def class_ids(sets: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.where(n > 0, B.mix((sums[start[1:]] - sums[start[:-1]]) ^ (n * np.uint64(0x9E3779B97F4A7C15))), np.uint64(0))
 
 
+def first_tokens(t: np.ndarray, start: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """The `keep` least tokens of each record in ascending order, one after another."""
+    rows = np.flatnonzero(keep)
+    if not len(rows):
+        return np.zeros(0, np.uint64)
+    if len(t) > LONG * len(rows):
+        return np.concatenate([np.sort(np.partition(t[start[i] : start[i + 1]], keep[i] - 1)[: keep[i]]) for i in rows])
+    t, start = B.sorted_sets(t, start)
+    at = np.concatenate([[0], np.cumsum(keep)])
+    pos = np.arange(at[-1]) + np.repeat(start[:-1] - at[:-1], keep)
+    return t[np.minimum(pos, len(t) - 1)]  # two hashes of a record may give one token
+
+
 _POSTED = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("cid", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
 
@@ -73,7 +88,11 @@ class SetJoin:
         self.scratch = Scratch(self.spark)
 
     def run(self) -> "SetJoin":
-        """Fill `members` (doc, line, cid, n), `classes` (cid, n, doc, line of the first record) and `posted`."""
+        """Fill `members` (doc, line, cid, n), `classes` (cid, n, doc, line of the first record, size) and `posted`.
+
+        A posting is a class's prefix token with its position and the token's earliest posting
+        (lead, ln, lp); postings of the lead itself are left out.
+        """
         records, ratio, cut = self.records, self.ratio, self.scratch.cut
 
         def hashes(batch):
@@ -93,29 +112,31 @@ class SetJoin:
                     cid = B.signed(class_ids(sets, start))
                     t = tokens(sets, shared.value)
                     keep = np.minimum(ratio.prefix(n), n)
-                    lists, sizes = [], np.zeros(len(n), np.int64)
-                    for i in np.flatnonzero(n):
-                        if (c := int(cid[i])) not in seen:
+                    for i, c in enumerate(cid.tolist()):
+                        if c in seen:
+                            keep[i] = 0
+                        elif n[i]:
                             seen.add(c)
-                            own = t[start[i] : start[i + 1]]
-                            k = int(keep[i])
-                            lists.append(np.sort(np.partition(own, k - 1)[:k] if k < len(own) else own))
-                            sizes[i] = k
-                    flat = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
-                    off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    flat = first_tokens(t, start, keep)
+                    off = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
                     prefix = pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(line.astype(np.int32)), pa.array(cid), pa.array(n.astype(np.int32)), prefix], schema=_POSTED)
 
         rows = cut(self.docs.mapInArrow(post, "doc long, line int, cid long, n int, prefix array<long>"))
         self.members = rows.select("doc", "line", "cid", "n")
         first = F.min(F.struct("doc", "line")).alias("f")
-        self.classes = cut(rows.filter("n > 0").groupBy("cid", "n").agg(first).select("cid", "n", "f.doc", "f.line"))
+        self.classes = cut(rows.filter("n > 0").groupBy("cid", "n").agg(first, F.count(F.lit(1)).alias("size")).select("cid", "n", "f.doc", "f.line", "size"))
         # a task posts a class once; its prefix comes from whichever record that was
         posts = rows.filter(F.size("prefix") > 0).select("cid", "n", "doc", "line", F.posexplode("prefix").alias("pos", "token"))
         hot = F.shiftrightunsigned("token", 56) >= HOT
-        n_token = F.count(F.lit(1)).over(W.partitionBy("token"))
-        cold = posts.filter(~hot).withColumn("_c", n_token).filter("_c > 1").drop("_c")
-        self.posted = cut(cold.unionByName(posts.filter(hot)).select("token", "cid", "n", "pos", "doc", "line"))
+        # a cold token has fewer than 2^HOT postings, so its window is small; hot ones aggregate partially
+        lead = F.min(F.struct("doc", "line", "cid", "n", "pos"))
+        in_token = W.partitionBy("token")
+        cold = posts.filter(~hot).withColumn("c", F.count(F.lit(1)).over(in_token)).withColumn("l", lead.over(in_token)).filter("c > 1")
+        often = cut(posts.filter(hot))
+        leads = cut(often.groupBy("token").agg(F.count(F.lit(1)).alias("c"), lead.alias("l")).filter("c > 1"))
+        posted = cold.drop("c").unionByName(often.join(leads.select("token", "l"), "token"))
+        self.posted = cut(posted.filter("cid <> l.cid").select("token", "cid", "n", "pos", F.col("l.cid").alias("lead"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lp")))
         return self
 
     def _fits(self, nx, px, ny, py):
@@ -127,11 +148,8 @@ class SetJoin:
 
     def star_candidates(self) -> DataFrame:
         """(a, b): each posting's class with its token's earliest one; one row per posting at most."""
-        p = self.posted
-        lead = self.scratch.cut(p.groupBy("token").agg(F.min(F.struct("doc", "line", "cid", "n", "pos")).alias("l"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", F.col("l.cid").alias("lead"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lp")))
-        self.leads = lead
-        j = p.join(lead, "token").filter((F.col("cid") != F.col("lead")) & self._fits(F.col("n"), F.col("pos"), F.col("ln"), F.col("lp")))
-        return j.select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
+        near = self.posted.filter(self._fits(F.col("n"), F.col("pos"), F.col("ln"), F.col("lp")))
+        return near.select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The (a, b) of `pairs` whose sets link, by prefix trees of at most TREE or so candidates."""
@@ -187,27 +205,32 @@ class SetJoin:
 
         return cut(rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(walk, "a long, b long"))
 
-    def rest_candidates(self, unsettled: DataFrame, tested: DataFrame, either: bool) -> DataFrame:
-        """(a, b): what the stars left open, from the postings of tokens that hold an unsettled class.
+    def rest_candidates(self, known: DataFrame, tested: DataFrame, either: bool) -> DataFrame:
+        """(a, b), a < b: what the stars left open, from the postings of tokens that hold an open class.
 
-        `unsettled`: (cid, grp). either=True: pairs of postings whose groups differ. Otherwise:
-        an unsettled class (grp null for settled ones) with every earlier class of its tokens.
+        `known`: (cid, grp). either=True: pairs of postings whose groups differ (a class without
+        one is its own). Otherwise: the classes without a group, each with every other class of
+        its tokens; which of two is the earlier one shows in `classes`, not in the postings.
         """
         cut = self.scratch.cut
-        p = cut(self.posted.join(self.leads.select("token", "lead"), "token").filter("cid <> lead").drop("lead").join(unsettled, "cid", "left"))
+        p = self.posted.select("token", "cid", "n", "pos").join(known, "cid", "left")
         if either:
             p = p.withColumn("grp", F.coalesce("grp", "cid"))
-            open_tokens = p.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x <> y").select("token")
-        else:
-            open_tokens = p.filter("grp is not null").select("token").distinct()
+        p = cut(p)
+        ends = (F.min("grp").alias("x"), F.max("grp").alias("y")) if either else (F.min("cid").alias("x"), F.max("cid").alias("y"))
+        is_open = F.lit(True) if either else F.bool_or(F.col("grp").isNull())
+        open_tokens = p.groupBy("token").agg(*ends, is_open.alias("o")).filter("o and x <> y").select("token")
         p = cut(p.join(cut(open_tokens), "token", "left_semi"))
-        x = p.select("token", *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "pos", "doc", "line", "grp")])
-        y = p.select("token", *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "pos", "doc", "line", "grp")])
+        x, y = (p.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("cid", "n", "pos", "grp")]) for s in "xy")
         fits = self._fits(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"))
-        earlier = (F.col("x_doc") < F.col("y_doc")) | (F.col("x_doc") == F.col("y_doc")) & (F.col("x_line") < F.col("y_line"))
-        apart = (F.col("x_grp") < F.col("y_grp")) if either else (F.col("y_grp").isNotNull() & earlier & (F.col("x_cid") != F.col("y_cid")))
-        out = x.join(y, "token").filter(apart & fits).select(F.col("x_cid").alias("a"), F.col("y_cid").alias("b")).distinct()
-        return out.join(tested, ["a", "b"], "left_anti")
+        once = F.col("y_grp").isNull() & (F.col("x_cid") != F.col("y_cid")) & (F.col("x_grp").isNotNull() | (F.col("x_cid") < F.col("y_cid")))
+        apart = (F.col("x_grp") < F.col("y_grp")) if either else once
+
+        def ordered(df, a, b):
+            return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+
+        out = ordered(x.join(y, "token").filter(apart & fits), "x_cid", "y_cid").distinct()
+        return out.join(ordered(tested, "a", "b"), ["a", "b"], "left_anti")
 
 
 def linked(probe: np.ndarray, held: dict[int, bytes], ratio: Ratio) -> list[int]:
