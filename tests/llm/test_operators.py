@@ -216,3 +216,19 @@ def test_classifiers(spark):
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(150)], "doc_id long, toxic int")
     score = {r["doc_id"]: r["s"] for r in docs.select("doc_id", score_column(spark, fit(docs, labels))("text").alias("s")).collect()}
     assert all((score[i] >= 0.3) == (i % 5 == 0) for i in range(150, 200)) and 0 <= score[500] < 0.3
+
+
+def test_lines_copied_out_of_id_order(spark):
+    from skein.llm.line_dedup import dedup_lines
+
+    words = [f"w{i}" for i in range(60)]
+    lines = [" ".join([*words[i * 2 :], *(f"v{j}" for j in range(i * 2))]) for i in range(6)]
+    rows = [(n, lines[(n * 7 + n // 4) % 6]) for n in range(24)]
+    rows = sorted(rows, key=lambda r: r[0] * 11 % 24)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["_n_removed"] for r in dedup_lines(docs).collect()}
+    seen, ratio = [], Ratio(4, 5)
+    for doc, text in sorted(rows):
+        s = sets(text, 5)
+        assert got[doc] == any(ratio.den * len(s & t) >= ratio.num * len(s | t) for t in seen)
+        seen.append(s)
