@@ -98,10 +98,10 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]
             yield done()
 
     parts = df.mapInArrow(count, "slice int, gaps binary, counts binary")
-    merged = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, data binary")
+    merged = parts.repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, data binary")
     size = width // 8 if repeated else width
     out = np.zeros((rows * SLICES, size), np.uint8)
-    for row in merged.toLocalIterator():  # rows * SLICES rows of a fixed size
+    for row in merged.collect():  # rows * SLICES rows of a fixed size; an iterator would run a job per partition
         out[row["slice"]] = np.frombuffer(row["data"], np.uint8)
     return out.reshape(rows, -1)
 
