@@ -14,6 +14,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm import blocks as B
 from skein.runtime import Scratch
 
 #: Distinct words whose ids a worker keeps in each of two generations.
 CACHE = 500_000
+#: Bytes of text that are cut into words at once.
+BLOCK = 4 << 20
 #: White space of the tokenizer's pattern beyond ASCII's; texts that hold it are not cut into words.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
-_UNIT = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 _held: dict[str, object] = {}
 
 
@@ -42,36 +45,65 @@ class _Ids(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.old: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[str]) -> None:
-        """Add words; a full generation becomes the old one, whose words return when they are met again."""
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; a full generation becomes the old one, whose words return when they are met again."""
         if len(self) > CACHE:
             self.old = dict(self)
             self.clear()
         old = self.old
-        self.update((w, old[w]) for w in words if w in old)
-        new = [w for w in words if w not in self]
-        self.update(zip(new, self.encode(new), strict=True))
+        new = []
+        for w in words:
+            if w not in self:
+                if w in old:
+                    self[w] = old[w]
+                else:
+                    new.append(w)
+        self.update(zip(new, self.encode([w.decode() for w in new]), strict=True))
+        return [self[w] for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # the former leaves out offsets
         return [np.array(e.ids, "<u4").tobytes() for e in batch(texts, add_special_tokens=False)]
 
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each whole text, as bytes."""
+def token_bytes(texts: pa.Array, path: str) -> Iterator[bytes]:
+    """The ids of each whole text, as bytes; null counts as empty."""
     if path not in _held:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _held[path] = _Ids(path)
     ids: _Ids = _held[path]
-    units = [None if _ODD.search(t) else _UNIT.findall(t) for t in texts]
-    met = set().union(*[u for u in units if u is not None])
-    ids.learn(met if len(ids) > CACHE else met - ids.keys())
-    odd = iter(ids.encode([t for t, u in zip(texts, units, strict=True) if u is None]))
-    return [next(odd) if u is None else b"".join(map(ids.__getitem__, u)) for u in units]
+    for lo, hi, b, off in B.blocks(texts, BLOCK):
+        odd = {i for i, t in enumerate(texts.slice(lo, hi - lo).to_pylist()) if t and _ODD.search(t)}
+        # a word begins with its text or where blanks follow something else
+        blank = B.SPACE[b]
+        begins = np.zeros(len(b) + 1, bool)
+        begins[1:-1] = blank[1:] & ~blank[:-1]
+        begins[off] = True
+        at = np.flatnonzero(begins[:-1]) if len(b) else np.zeros(0, np.int64)
+        first = np.searchsorted(at, off)
+        if odd:  # their words count for nothing
+            keep = np.ones(len(at), bool)
+            for i in odd:
+                keep[first[i] : first[i + 1]] = False
+        spans = pa.py_buffer(np.append(at, len(b)).astype(np.int64))
+        words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, spans, pa.py_buffer(np.ascontiguousarray(b))])
+        if odd:
+            words = words.filter(pa.array(keep))
+            first = np.append(0, np.cumsum(keep))[first]
+        coded = words.dictionary_encode()
+        each = ids.of(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat, start = np.frombuffer(b"".join(each), "<u4"), np.cumsum(size) - size
+        code = coded.indices.to_numpy()
+        n = size[code]
+        end = np.append(0, np.cumsum(n))
+        out = flat[np.arange(end[-1]) + np.repeat(start[code] - end[:-1], n)]
+        for i, (x, y) in enumerate(zip(end[first[:-1]].tolist(), end[first[1:]].tolist(), strict=True)):
+            yield ids.encode([texts[lo + i].as_py()])[0] if i in odd else out[x:y].tobytes()
 
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str, end_id: int) -> DataFrame:
@@ -79,19 +111,19 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_col:
 
     def run(batches):
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                out = []
-                for i, raw in zip(part.column(0).to_pylist(), token_bytes([t or "" for t in part.column(1).to_pylist()], path), strict=True):
-                    raw += int(end_id).to_bytes(4, "little")
-                    n = len(raw) // 4
-                    at, piece = 0, 0
-                    size = n if n <= capacity else n % capacity or capacity
-                    while at < n:
-                        out.append((i, piece, at, size, zlib.crc32(raw[4 * at : 4 * (at + size)])))
-                        at, piece, size = at + size, piece + 1, capacity
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
+            out = []
+            for i, raw in zip(batch.column(0).to_pylist(), token_bytes(batch.column(1), path), strict=True):
+                raw += int(end_id).to_bytes(4, "little")
+                n = len(raw) // 4
+                at, piece = 0, 0
+                size = n if n <= capacity else n % capacity or capacity
+                while at < n:
+                    out.append((i, piece, at, size, zlib.crc32(raw[4 * at : 4 * (at + size)])))
+                    at, piece, size = at + size, piece + 1, capacity
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
