@@ -232,3 +232,18 @@ def test_lines_copied_out_of_id_order(spark):
         s = sets(text, 5)
         assert got[doc] == any(ratio.den * len(s & t) >= ratio.num * len(s | t) for t in seen)
         seen.append(s)
+
+
+def test_token_bytes_of_odd_texts():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from skein.llm.packing import _Ids, token_bytes
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(3)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "a", "B", "é", "22", ",", "'s", "\xa0", "　", "<|endoftext|>", "日本", "\x1c", "\x0b", "́"]
+    own = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(2000)]
+    whole = _Ids(path)
+    for texts in ([*own, None], [None, "", None], [], own[:1]):
+        assert list(token_bytes(pa.array(texts, pa.string()), path)) == whole.encode([x or "" for x in texts])
+    assert list(token_bytes(pa.array(own).slice(5, 50), path)) == whole.encode(own[5:55])
