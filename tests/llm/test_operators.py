@@ -112,6 +112,21 @@ def test_decontaminate(spark, docs):
     assert find_leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontaminate_one_word_edits(spark):
+    from skein.llm.decontaminate import find_leaks
+
+    items, rows = [], []
+    for i in range(80):
+        w = [f"i{i}w{j}" for j in range(30 + i % 40)]
+        edit = [*w[:14], "other", *w[15:]]
+        items.append((i, " ".join(w)))
+        rows.append((i, " ".join([f"a{i}", *edit, f"z{i}"])))
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(i, i): 1 - 5 / (26 + i % 40) for i in range(80)}
+    assert 0.80 < min(want.values()) and max(want.values()) > 0.92
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-5 for x in want)
+
+
 def test_chat_format(spark):
     from skein.llm.chat_format import escape, format_conversations, parse, read_back, unescape
 
