@@ -11,7 +11,7 @@ results, and extra columns travel along.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.decontaminate import find_leaks
@@ -40,22 +40,38 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def row_key() -> Column:
+    """A hash of id and text: rows of one key repeat each other."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), "doc_id", "text")
+
+
 def ngram_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    groups = Scratch(spark).cut(ngram_join(docs, k=5, num=80, den=100))
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep"))
-    ids = kept.distinct()
-    out = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    # rows that repeat an id are one group; a distinct over texts runs only if there are such rows
-    repeats = kept.filter("_keep is not null").groupBy("_keep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return out if repeats.isEmpty() else out.dropDuplicates(["doc_id"])
+    """The document with the smallest id of each group of near duplicates.
+
+    Rows are told apart by id and text. A null id is the smallest, and all rows without an id
+    pass. Of rows that repeat a group's smallest id, or an id and its text, one stays.
+    """
+    scratch = Scratch(spark)
+    keyed = docs.select(row_key().alias("key"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
+    groups = ngram_join(keyed.select("key", "text"), id_col="key", k=5, num=80, den=100).select(F.col("doc_id").alias("key"), F.col("component_id").alias("grp"))
+    groups = scratch.cut(groups.groupBy("key", "grp").agg(F.count(F.lit(1)).alias("n")))
+    ids = groups.join(keyed.select("key", "id").distinct(), "key")
+    kept = ids.groupBy("grp").agg(F.min(F.struct("id", "key", "n")).alias("k")).select("k.*")
+    kept = scratch.cut(kept.filter("id is not null"))
+    keep = kept.select(F.col("key").alias("_keep"))
+    out = docs.join(keep, row_key() == keep["_keep"], "left_semi")
+    # a distinct over texts runs only if there are rows that repeat an id and its text
+    if not kept.filter("n > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item was found."""
-    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, similarity=0.8)
+    """Documents in which no benchmark item was found; the text alone decides."""
+    texts = docs.select(F.xxhash64("text").alias("key"), "text")
+    leaks = find_leaks(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key", k=5, similarity=0.8)
     gone = leaks.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, F.xxhash64("text") == gone["_gone"], "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
