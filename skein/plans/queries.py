@@ -107,7 +107,7 @@ _N = "(SELECT max(greatest(src, dst)) + 1 FROM evt)"
 
 @query("degree_zero_filled", f"WITH {g.EVT}, odd AS (SELECT * FROM evt WHERE src % 2 = 1) SELECT v AS vertex, count(odd.src) AS degree FROM (SELECT unnest(range({_N.replace('evt', 'odd')})) AS v) LEFT JOIN odd ON v = odd.src GROUP BY v")
 def _(spark, sf):
-    store = GraphStore(spark, "adj").commit(g.event_edges(spark, sf).filter("src % 2 = 1").select("src", "dst"))
+    store = GraphStore(spark, "adj").commit(g.event_edges(spark, sf).select("src", "dst"))
     return store.out_degree()
 
 
@@ -130,7 +130,8 @@ def _(spark, sf):
 @query("edge_exists", f"WITH {g.EVT} SELECT a.v AS src, b.v AS dst FROM (SELECT unnest(range(15)) AS v) a, (SELECT unnest(range(15)) AS v) b WHERE EXISTS (SELECT 1 FROM evt WHERE src = a.v AND dst = b.v)")
 def _(spark, sf):
     store = GraphStore(spark, "csr").commit(g.event_edges(spark, sf).select("src", "dst"))
-    pairs = spark.range(225).selectExpr("id div 15 AS src", "id % 15 AS dst")
+    edges = store.edges()
+    pairs = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     return store.find_edges(pairs)
 
 

@@ -66,3 +66,19 @@ def test_tools(spark):
     mixed = shuffle_edges(e, 3)
     assert column(mixed, "edge_idx", "edge_idx") == list(range(128))
     assert sum(r["load"] for r in pack_hosts(vhost_load(e, 8), 3).collect()) == 128
+
+
+def test_degrees_and_edge_probes_cover_all_events(spark, tmp_path):
+    from collections import Counter
+
+    from skein.plans.queries import QUERIES
+
+    users = [0, 40, 2, 40, 3, 3, 17, 40, 2, 17, 40, 2]
+    rows = [(i, i, u) for i, u in enumerate(users)]
+    spark.createDataFrame(rows, "ts long, event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    edges = [(a, b) for a, b in zip(users, users[1:], strict=False) if a != b]
+    degree = Counter(a for a, _ in edges)
+    got = {r["vertex"]: r["degree"] for r in QUERIES["degree_zero_filled"](spark, str(tmp_path)).collect()}
+    assert got == {v: degree[v] for v in range(41)}
+    got = [tuple(r) for r in QUERIES["edge_exists"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(set(edges))
