@@ -41,7 +41,7 @@ def components(links: DataFrame, scratch: Scratch, max_rounds: int = 40, per_tas
 
     Tasks first shrink their links, at most about per_task each, to forests; if one task was
     enough, its forest is the answer. Otherwise large-star and small-star steps alternate
-    until the links stop changing. Least neighbours are partial aggregates written to a table,
+    until the links stop changing; if max_rounds do not suffice, this raises. Least neighbours are partial aggregates written to a table,
     so the join back has plain scans on both sides and a hot node's rows can be split.
     """
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
@@ -63,4 +63,6 @@ def components(links: DataFrame, scratch: Scratch, max_rounds: int = 40, per_tas
         if (row["n"], row["h"]) == mark:
             break
         mark = (row["n"], row["h"])
+    else:
+        raise RuntimeError(f"links still change after {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

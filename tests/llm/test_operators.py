@@ -218,6 +218,15 @@ def test_components_over_many_tasks(spark):
     assert got == {x: find(x) for x in root if find(x) != x}
 
 
+def test_components_that_do_not_settle_raise(spark):
+    from skein.llm.components import components
+    from skein.runtime import Scratch
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(links, Scratch(spark), max_rounds=1, per_task=5)
+
+
 def test_classifiers(spark):
     from skein.llm.language_id import identify
     from skein.llm.toxicity import fit, score_column
