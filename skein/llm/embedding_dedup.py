@@ -95,8 +95,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     Equal vectors of a label form one class that is indexed once and counts with its size. Every
     class lies in its nearest cell and visits further cells; a pair is verified in double
     precision where either visits the other's cell, and counted once. Crowded cells are compared
-    block by block. Vectors that are null, zero, of another length than most, or hold null or
-    non-finite components, and those without a label, link with nothing. Repeated ids are rows of
+    block by block. Vectors link with those of their length; every length has its own codebooks,
+    one of at most `sample` classes is a single cell instead, unless it is the most frequent.
+    Vectors that are null, zero, or hold null or non-finite components, and those without a
+    label, link with nothing. Repeated ids are rows of
     their own; an empty table gives none.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
@@ -104,29 +106,37 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.transform(v, lambda x: x.cast("double")).alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("dim", F.when(F.col("label").isNotNull() & F.coalesce(fine, F.lit(False)), F.size("v")))
-    usual = rows.filter("dim is not null").groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()  # one row
-    dim = usual[0]["dim"] if usual else 0
     # -0.0 and 0.0 are one value; two vectors that differ in that alone have cosine 1 as well
-    rows = scratch.cut(rows.withColumn("cid", F.when(F.col("dim") == dim, F.xxhash64("label", F.transform("v", lambda x: x + F.lit(0.0))))))
-    classes = rows.filter("cid is not null").groupBy("cid", "label").agg(F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("first"), F.first("v").alias("v"))
+    rows = scratch.cut(rows.withColumn("cid", F.when(F.col("dim").isNotNull(), F.xxhash64("label", F.transform("v", lambda x: x + F.lit(0.0))))))
+    # the length is part of the label from here on
+    keyed = rows.filter("cid is not null").withColumn("label", F.concat_ws(":", F.col("dim").cast("string"), "label"))
+    classes = keyed.groupBy("cid", "dim", "label").agg(F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("first"), F.first("v").alias("v"))
     classes = scratch.cut(classes)
-    some = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("label", "v").collect()  # `sample` rows
-    if not some:
+    sizes = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("rows"))
+    usual = sizes.orderBy(F.desc("rows"), F.desc("dim")).limit(1).collect()  # one row
+    if not usual:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    x = np.array([r["v"] for r in some])
-    index = fit(x / np.sqrt((x * x).sum(1))[:, None], np.unique([r["label"] for r in some], return_inverse=True)[1], threshold)
+    fitted = {usual[0]["dim"]} | {r["dim"] for r in sizes.filter(F.col("n") > sample).select("dim").collect()}  # lengths of many classes
+    index = {}
+    for dim in fitted:
+        some = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("cid"), "cid").limit(sample).select("label", "v").collect()  # `sample` rows
+        x = np.array([r["v"] for r in some])
+        index[dim] = fit(x / np.sqrt((x * x).sum(1))[:, None], np.unique([r["label"] for r in some], return_inverse=True)[1], threshold)
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches):
-        ix = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
             vec = batch.column(3)
-            flat = np.ascontiguousarray(vec.flatten().to_numpy(zero_copy_only=False), "<f8").reshape(batch.num_rows, -1)
-            cells = nearest_cells(flat / np.sqrt((flat * flat).sum(1))[:, None], ix.left, ix.right, ix.visits)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1]), pa.array(cells.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([r.tobytes() for r in flat]), lists], names=["cid", "label", "m", "raw", "cells"])
+            size = vec.value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(size):
+                part = batch.take(pa.array(np.flatnonzero(size == dim)))
+                flat = np.ascontiguousarray(part.column(3).flatten().to_numpy(zero_copy_only=False), "<f8").reshape(part.num_rows, -1)
+                ix = shared.value.get(int(dim))
+                cells = np.zeros((len(flat), 1), np.int32)
+                if ix:
+                    cells = nearest_cells(flat / np.sqrt((flat * flat).sum(1))[:, None], ix.left, ix.right, ix.visits)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1]), pa.array(cells.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([r.tobytes() for r in flat]), lists], names=["cid", "label", "m", "raw", "cells"])
 
     placed = scratch.cut(classes.select("cid", "label", "m", "v").mapInArrow(assign, "cid long, label string, m long, raw binary, cells array<int>"))
     own = placed.withColumn("cell", F.col("cells")[0])

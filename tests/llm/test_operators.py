@@ -197,6 +197,25 @@ def test_embeddings(spark):
     assert all(out[i]["n_links"] == 0 and out[i]["kept"] for i in range(500, 505))
 
 
+def test_embeddings_of_two_lengths(spark):
+    from skein.llm.embedding_dedup import brute_force, near_duplicates
+
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for at, n, dim in ((0, 60, 16), (1000, 30, 9), (2000, 3, 1)):
+        x = rng.normal(size=(n, dim))
+        x = np.concatenate([x, x[: n // 2] + 0.01 * rng.normal(size=(n // 2, dim)), x[:3]])
+        rows += [(at + i, v.tolist(), 1) for i, v in enumerate(x)]
+        want |= {at + i: int(c) for i, c in enumerate(brute_force(x, [1] * len(x), 0.93).sum(1))}
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in near_duplicates(vectors).collect()}
+    assert got.keys() == want.keys() and all(got[i] <= want[i] for i in want)
+    assert all(got[i] == want[i] > 0 for i in range(1000, 1003)) and {i: n for i, n in got.items() if i >= 1000} == {i: n for i, n in want.items() if i >= 1000}
+    # each length on codebooks of its own
+    got = {r["vec_id"]: r["n_links"] for r in near_duplicates(vectors.filter("vec_id < 2000"), sample=20).collect()}
+    assert all(sum(got[i] for i in got if i // 1000 == k) >= 0.9 * sum(n for i, n in want.items() if i // 1000 == k) for k in (0, 1))
+
+
 def test_components_over_many_tasks(spark):
     from skein.llm.components import components
     from skein.runtime import Scratch
