@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from skein.llm.components import components
 from skein.runtime import Scratch
 
-#: Vectors that the codebooks and the number of visited cells are fitted on, by hash order.
-SAMPLE = 8192
+#: Vectors that the codebooks are fitted on, by hash order; the first QUERIES of them are compared
+#: with the whole table for the number of visited cells.
+SAMPLE, QUERIES = 8192, 1024
 #: Codewords of either half, and rows of either side that one comparison holds.
 WORDS, BLOCK = 32, 1024
 TARGET = 0.995
+#: With fewer near pairs than this, the greatest rank counts, and SPARSE visits at least.
+FEW, SPARSE = 200, 16
 
 
 @dataclass(frozen=True)
@@ -61,27 +64,56 @@ def nearest_cells(unit: np.ndarray, left: np.ndarray, right: np.ndarray, visits:
     return (np.take_along_axis(o1, i[best], 1) * len(right) + np.take_along_axis(o2, j[best], 1)).astype(np.int32)
 
 
-def fit(unit: np.ndarray, label: np.ndarray, threshold: float, words: int = WORDS, target: float = TARGET) -> Index:
-    """Codebooks from the sample, and the visits after which `target` of its own near pairs are found."""
+def cell_ranks(unit: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The rank of every cell by its distance, for each vector."""
+    order = nearest_cells(unit, left, right, len(left) * len(right))
+    ranks = np.empty(order.shape, np.int16)
+    np.put_along_axis(ranks, order, np.arange(order.shape[1], dtype=np.int16)[None], 1)
+    return ranks
+
+
+def visits(counts: dict[int, int], every: int, target: float = TARGET) -> int:
+    """The visits after which `target` of the near pairs are found; counts: pairs by rank."""
+    total = sum(counts.values())
+    if total < FEW:
+        return min(every, max(SPARSE, max(counts, default=0) + 2))
+    seen = 0
+    for rank in sorted(counts):
+        seen += counts[rank]
+        if seen >= target * total:
+            break
+    return min(every, max(8, rank + 2))
+
+
+def fit(classes: DataFrame, cids: np.ndarray, unit: np.ndarray, label: list[str], threshold: float, words: int = WORDS) -> Index:
+    """Codebooks from the sample, and visits from the first QUERIES of it against all `classes` of their length."""
     half = unit.shape[1] // 2
     left, right = _kmeans(unit[:, :half], words, 1), _kmeans(unit[:, half:], words, 2)
     every = len(left) * len(right)
-    order = np.concatenate([nearest_cells(unit[i : i + 512], left, right, every).astype(np.int16) for i in range(0, len(unit), 512)])
-    own = order[:, 0]
-    ranks = []
-    for lo in range(0, len(unit), 512):
-        near = (unit[lo : lo + 512] @ unit.T >= threshold) & (label[lo : lo + 512, None] == label[None])
-        a, b = np.nonzero(near)
-        a = a + lo
-        keep = a < b
-        for x, y in zip(a[keep], b[keep], strict=True):
-            ranks.append(min(int(np.flatnonzero(order[x] == own[y])[0]), int(np.flatnonzero(order[y] == own[x])[0])))
-            if len(ranks) >= 200_000:
-                break
-    if not ranks:
-        return Index(left, right, min(every, 16))
-    ranks.sort()
-    return Index(left, right, min(every, max(8, ranks[min(len(ranks) - 1, int(target * len(ranks)))] + 2)))
+    names = {x: i for i, x in enumerate(dict.fromkeys(label[:QUERIES]))}
+    kind = np.array([names[x] for x in label[:QUERIES]])
+    ranks = cell_ranks(unit[:QUERIES], left, right)
+    asked = classes.sparkSession.sparkContext.broadcast((cids[:QUERIES], unit[:QUERIES], kind, names, ranks, ranks.argmin(1), left, right))
+
+    def pairs(batches):
+        cid, q, kind, names, ranks, home, left, right = asked.value
+        total = np.zeros(every, np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(lo, BLOCK)
+                own = part.column(0).to_numpy(zero_copy_only=False)
+                of = np.array([names.get(x, -1) for x in part.column(1).to_pylist()])
+                x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                x = x / np.sqrt((x * x).sum(1))[:, None]
+                a, b = np.nonzero((q @ x.T >= threshold) & (kind[:, None] == of[None]) & (cid[:, None] != own[None]))
+                if len(a):
+                    hit, b = np.unique(b, return_inverse=True)
+                    back = cell_ranks(x[hit], left, right)
+                    total += np.bincount(np.minimum(ranks[a, back.argmin(1)[b]], back[b, home[a]]), minlength=every)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["rank", "n"])
+
+    found = classes.select("cid", "label", "v").mapInArrow(pairs, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()  # a row per cell at most
+    return Index(left, right, visits({r["rank"]: r["n"] for r in found}, every))
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -119,9 +151,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     fitted = {usual[0]["dim"]} | {r["dim"] for r in sizes.filter(F.col("n") > sample).select("dim").collect()}  # lengths of many classes
     index = {}
     for dim in fitted:
-        some = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64("cid"), "cid").limit(sample).select("label", "v").collect()  # `sample` rows
+        of_dim = classes.filter(F.col("dim") == dim)
+        some = of_dim.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("cid", "label", "v").collect()  # `sample` rows
         x = np.array([r["v"] for r in some])
-        index[dim] = fit(x / np.sqrt((x * x).sum(1))[:, None], np.unique([r["label"] for r in some], return_inverse=True)[1], threshold)
+        index[dim] = fit(of_dim, np.array([r["cid"] for r in some]), x / np.sqrt((x * x).sum(1))[:, None], [r["label"] for r in some], threshold)
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches):

@@ -216,6 +216,22 @@ def test_embeddings_of_two_lengths(spark):
     assert all(sum(got[i] for i in got if i // 1000 == k) >= 0.9 * sum(n for i, n in want.items() if i // 1000 == k) for k in (0, 1))
 
 
+def test_visits_come_from_partners_outside_the_sample(spark):
+    from skein.llm import embedding_dedup as ed
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 16))
+    x = np.concatenate([x, x + 0.2 * rng.normal(size=x.shape)])
+    rows = [(i, "a", v.tolist()) for i, v in enumerate(x)]
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    classes = spark.createDataFrame(rows, "cid long, label string, v array<double>")
+    index = ed.fit(classes, np.arange(1000), x[:1000], ["a"] * 1000, 0.93)  # no partner is in the sample
+    near = np.argwhere(np.triu(x @ x.T >= 0.93, 1))
+    cells = ed.nearest_cells(x, index.left, index.right, index.visits)
+    found = [cells[a, 0] in cells[b] or cells[b, 0] in cells[a] for a, b in near]
+    assert len(near) > 500 and np.mean(found) >= 0.98 and index.visits < 512
+
+
 def test_components_over_many_tasks(spark):
     from skein.llm.components import components
     from skein.runtime import Scratch
