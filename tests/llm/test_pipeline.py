@@ -69,3 +69,53 @@ def test_decontamination_judges_rows(spark, data):
     out = cp.decontamination(spark, docs, path)
     assert pairs(out) == sorted((r for r in rows() if ITEM not in (r[1] or "")), key=str)
     assert cp.decontamination(spark, docs.limit(0), path).count() == 0
+
+
+def lines_deduped(own):
+    """Later near-duplicate lines go, then documents of which no line is left; a null id comes first."""
+    seen, out = [], []
+    for i, text in sorted(own, key=lambda r: (r[0] is not None, r[0] or 0)):
+        kept = []
+        for line in (text or "").split("\n"):
+            s = shingles(line)
+            if not any(s and len(s & t) * 5 >= len(s | t) * 4 for t in seen):
+                kept.append(line)
+            seen.append(s)
+        if kept and (any(x.strip() for x in kept) or len(kept) == len((text or "").split("\n"))):
+            out.append((i, None if text is None else "\n".join(kept)))
+    return out
+
+
+def test_run_and_every_stage(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    words = [f"the{x}{y}ing" for x in "abcdefghij" for y in "abcdef"]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    own = [(i, text(40) + (" awful awful" if i % 5 == 0 else "")) for i in range(200)]
+    shared, near = text(30), text(60).split()
+    own += [(301, f"{text(20)}\n{shared}"), (302, f"{text(20)}\n{shared}"), (303, shared), (None, text(30)), (None, text(25)), (None, None), (304, None)]
+    # near as documents, not line by line
+    own += [(310, "\n".join(" ".join(near[i : i + 3]) for i in range(0, 60, 3))), (311, " ".join(near)), (312, text(30)), (312, text(35)), (312, f"{text(10)} {ITEM}")]
+    path = str(tmp_path)
+    docs = spark.createDataFrame(own, "doc_id long, text string")
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    want = [r for r in own if "awful" not in (r[1] or "")]
+    assert pairs(cp.toxicity(spark, docs, path)) == sorted(want, key=str)
+    want = lines_deduped(want)
+    lines = cp.line_dedup(spark, cp.toxicity(spark, docs, path), path)
+    assert pairs(lines) == sorted(want, key=str)
+    want = sum(deduped(want), [])
+    assert 310 in [i for i, _ in want] and 311 not in [i for i, _ in want]
+    assert pairs(cp.ngram_dedup(spark, lines, path)) == sorted(want, key=str)
+    want = [r for r in want if ITEM not in (r[1] or "")]
+    whole, total = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {}
+    for i, t in want:
+        total[i] = total.get(i, 0) + len(whole.encode(t or "", add_special_tokens=False).ids) + 1
+    got = {}
+    for r in cp.run(spark, path).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == total
