@@ -11,7 +11,9 @@ parameter. Each round hands every gap's successor at most one piece, settles con
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
@@ -25,19 +27,28 @@ from pyspark.sql import functions as F
 from skein.llm import blocks as B
 from skein.runtime import Scratch
 
-#: Distinct words whose ids a worker keeps in each of two generations.
-CACHE = 500_000
+#: Bytes of words, ids and their bookkeeping that a worker keeps in each of two generations.
+ROOM = 40 << 20
+#: What one kept word costs beside its own bytes, and the longest word that is kept.
+ENTRY, LONGEST = 170, 64
+#: Words that the tokenizer gets at once.
+CODED = 4096
 #: Bytes of text that are cut into words at once.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: White space of the tokenizer's pattern beyond ASCII's; texts that hold it are not cut into words.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+_MARK[[i for i in range(0x21, 0x7F) if not chr(i).isalnum()]] = True
 _held: dict[str, object] = {}
 
 
-class _Ids(dict):
-    """Word -> its ids as little-endian uint32 bytes; a word is blanks and what follows up to the next blank.
+class _Ids:
+    """Word -> its ids as little-endian uint32 bytes.
 
-    Byte-level BPE never merges over the end of such a word, so ids of a text are those of its words.
+    A word is blanks and what follows up to the next blank, cut once more where an ASCII letter
+    meets ASCII punctuation. Byte-level BPE never merges over the ends of such words, so the ids
+    of a text are those of its words. What is kept is bounded in bytes, whatever the words are.
     """
 
     def __init__(self, path: str):
@@ -45,27 +56,43 @@ class _Ids(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.now: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def hold(self, word: bytes, ids: bytes) -> None:
+        """Keep a word; a full generation becomes the old one, whose words return when they are met again."""
+        if len(word) > LONGEST:
+            return
+        if self.held > ROOM:
+            self.old, self.now, self.held = self.now, {}, 0
+        self.now[word] = ids
+        self.held += len(word) + len(ids) + ENTRY
 
     def of(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word; a full generation becomes the old one, whose words return when they are met again."""
-        if len(self) > CACHE:
-            self.old = dict(self)
-            self.clear()
-        old = self.old
+        """The ids of each word."""
+        out = list(map(self.now.get, words))
         new = []
-        for w in words:
-            if w not in self:
-                if w in old:
-                    self[w] = old[w]
-                else:
-                    new.append(w)
-        self.update(zip(new, self.encode([w.decode() for w in new]), strict=True))
-        return [self[w] for w in words]
+        for i in [i for i, x in enumerate(out) if x is None]:
+            out[i] = x = self.old.get(words[i])
+            if x is None:
+                new.append(i)
+            else:
+                self.hold(words[i], x)
+        for lo in range(0, len(new), CODED):
+            part = new[lo : lo + CODED]
+            for i, x in zip(part, self.encode([words[i].decode() for i in part]), strict=True):
+                out[i] = x
+                self.hold(words[i], x)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # the former leaves out offsets
-        return [np.array(e.ids, "<u4").tobytes() for e in batch(texts, add_special_tokens=False)]
+        out = [array("I", e.ids) for e in batch(texts, add_special_tokens=False)]
+        if sys.byteorder != "little":
+            for x in out:
+                x.byteswap()
+        return [x.tobytes() for x in out]
 
 
 def token_bytes(texts: pa.Array, path: str) -> Iterator[bytes]:
@@ -78,10 +105,10 @@ def token_bytes(texts: pa.Array, path: str) -> Iterator[bytes]:
     ids: _Ids = _held[path]
     for lo, hi, b, off in B.blocks(texts, BLOCK):
         odd = {i for i, t in enumerate(texts.slice(lo, hi - lo).to_pylist()) if t and _ODD.search(t)}
-        # a word begins with its text or where blanks follow something else
+        # a word begins with its text, where blanks follow something else, or where marks follow a letter
         blank = B.SPACE[b]
         begins = np.zeros(len(b) + 1, bool)
-        begins[1:-1] = blank[1:] & ~blank[:-1]
+        begins[1:-1] = (blank[1:] & ~blank[:-1]) | (_LETTER[b[:-1]] & _MARK[b[1:]])
         begins[off] = True
         at = np.flatnonzero(begins[:-1]) if len(b) else np.zeros(0, np.int64)
         first = np.searchsorted(at, off)
