@@ -1,25 +1,56 @@
-"""Near-duplicate line removal (operator 3)."""
+"""Near-duplicate line removal (operator 3): an exact set-similarity join of line token sets.
+
+Lines with equal token sets form a class, so copies are never paired. A token is its estimated
+log-frequency above 56 hash bits: sorted tokens begin with the rare ones, and two sets that reach
+the Jaccard threshold share a token among the first n - ceil(n * num / den) + 1 of each. Tokens
+that occur once in the whole table (the sketch never counts too low) are not posted at all.
+
+Postings carry a bitmap of their set: sets of n and m tokens whose bitmaps differ in d bits share
+at most (n + m - d) / 2 tokens. With the length and position filters this drops nearly all pairs
+where they arise; the rest is verified on the sets. Tokens of few postings compare all of them;
+for others each posting first meets the token's earliest one, which settles groups of near
+copies, and only lines that are still open meet the others.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import blocks as B
-from skein.llm.ngram_join import prepared
-from skein.llm.setjoin import NO_ID, Ratio, SetJoin, class_ids
+from skein.llm import sketch as S
+from skein.llm.setjoin import NO_ID, Ratio, class_ids, tokens
+from skein.runtime import Scratch
+
+SKETCH_BITS = 24
+#: Postings that are compared with one another directly.
+SMALL = 64
+#: Tokens with an estimated log2 frequency from here on are grouped by partial aggregates alone.
+HOT = 10
+#: Pairs of one line that a task verifies together.
+CHUNK = 1024
+#: Bytes of sets that are compared at once, and postings that are grouped at once.
+COMPARED, GROUPED = 8 << 20, 1 << 17
+
+_ROWS = "kind int, doc long, mark long, line int, cid long, n int, skip int, lo long, hi long, prefix array<long>, tokens binary"
+_ROWS_ARROW = pa.schema(
+    [("kind", pa.int32()), ("doc", pa.int64()), ("mark", pa.int64()), ("line", pa.int32()), ("cid", pa.int64()), ("n", pa.int32()), ("skip", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("prefix", pa.list_(pa.int64())), ("tokens", pa.binary())]
+)
+_FIRST = ["doc", "mark", "line"]
 
 
 def line_records(k: int):
-    """Each line's tokens: its k-word shingles, A-Z in lower case."""
+    """Each line's tokens: its words, or its k-word shingles, A-Z in lower case."""
 
-    def records(batch):
-        for lo, _, b, off in B.blocks(batch.column(1)):
+    def records(batch, column: int = 1):
+        for lo, _, b, off in B.blocks(batch.column(column)):
             row, line, first, s, e = split_lines(b, off)
-            h, start = B.shingles(B.word_hashes(B.LOWER[b], s, e), first, k)
+            words = B.word_hashes(B.LOWER[b], s, e)
+            h, start = (words, first) if k == 1 else B.shingles(words, first, k)
             yield row + lo, line, h, start
 
     return records
@@ -38,65 +69,290 @@ def split_lines(b: np.ndarray, off: np.ndarray):
     return row, line, np.append(np.searchsorted(s, at), len(s)), s, e
 
 
-def kept_lines(k: int):
-    """A column function: text and its removals [(line, cid)] -> (text, n_lines, n_removed)."""
-    records = line_records(k)
+def bitmaps(t: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, as two words: one bit for each token."""
+    lo, hi = np.zeros(len(start) - 1, np.uint64), np.zeros(len(start) - 1, np.uint64)
+    some = np.flatnonzero(np.diff(start))
+    if len(some):
+        bit = np.uint64(1) << ((t >> np.uint64(8)) & np.uint64(63))
+        high = (t >> np.uint64(16)) & np.uint64(1) == 1
+        lo[some] = np.bitwise_or.reduceat(np.where(high, np.uint64(0), bit), start[some])
+        hi[some] = np.bitwise_or.reduceat(np.where(high, bit, np.uint64(0)), start[some])
+    return lo, hi
 
-    @F.pandas_udf("text string, n_lines long, n_removed long")
-    def keep(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"text": text, "n_lines": [0 if t is None else t.count("\n") + 1 for t in text], "n_removed": 0})
-        some = [i for i, g in enumerate(gone) if g is not None and len(g) and text.iloc[i] is not None]
-        if some:
-            batch = pa.RecordBatch.from_arrays([pa.array(some), pa.array([text.iloc[i] for i in some])], names=["i", "text"])
-            drops: dict[int, set[int]] = {}
-            asked = [{(g["line"], g["cid"]) for g in gone.iloc[i]} for i in some]
+
+def pack40(t: np.ndarray) -> np.ndarray:
+    """The low 40 bits of each token as five bytes; sets are compared by these and by their length."""
+    return t.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def unpack40(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = raw.reshape(-1, 5)
+    return out.reshape(-1).view("<i8")
+
+
+def class_rows(records, ratio: Ratio, rarity):
+    """The rows of a task: kind 0 for each line with tokens, its set and postings where the class is new; kind 1 for the earliest line of each class and its count."""
+
+    def run(batches):
+        seen: set[int] = set()
+        members: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            marks = batch.column(2).to_numpy(zero_copy_only=False)
             for row, line, h, start in records(batch):
-                cid = B.signed(class_ids(*B.sorted_sets(h, start)))
-                for r, n, c in zip(row.tolist(), line.tolist(), cid.tolist(), strict=True):
-                    if (n, c) in asked[r]:
-                        drops.setdefault(r, set()).add(n)
-            for r, numbers in drops.items():
-                lines = text.iloc[some[r]].split("\n")
-                out.iat[some[r], 0] = "\n".join(x for n, x in enumerate(lines) if n not in numbers)
-                out.iat[some[r], 2] = len(numbers)
-        return out
+                # one sort puts the tokens of a line in order of rarity and makes them distinct
+                t, start = B.sorted_sets(tokens(h, rarity.value), start)
+                n = np.diff(start)
+                cid = B.signed(class_ids(t, start))
+                fresh = np.zeros(len(n), bool)
+                for i in np.flatnonzero(n).tolist():
+                    if (c := int(cid[i])) not in seen:
+                        seen.add(c)
+                        fresh[i] = True
+                once = np.concatenate([[0], np.cumsum(t >> np.uint64(56) <= 1)])
+                skip = once[start[1:]] - once[start[:-1]]
+                keep = np.where(fresh, np.minimum(ratio.prefix(n), n), 0)
+                size = np.maximum(keep - skip, 0)
+                off = np.concatenate([[0], np.cumsum(size)])
+                pos = np.arange(off[-1]) + np.repeat(start[:-1] + skip - off[:-1], size)
+                lo, hi = bitmaps(t, start)
+                own = np.repeat(fresh, n)
+                ends = np.concatenate([[0], np.cumsum(np.where(fresh, n, 0))]) * 5
+                some = np.flatnonzero(n)
+                prefix = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(B.signed(t[pos])))
+                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(pack40(t[own])))])
+                doc, mark = ids[row], marks[row]
+                columns = [pa.array(np.zeros(len(n), np.int32)), pa.array(doc), pa.array(mark), pa.array(line.astype(np.int32)), pa.array(cid), pa.array(n.astype(np.int32)), pa.array(skip.astype(np.int32)), pa.array(B.signed(lo)), pa.array(B.signed(hi)), prefix, raw]
+                members.append((cid[some], doc[some], mark[some], line[some].astype(np.int32)))
+                if len(some):
+                    yield pa.RecordBatch.from_arrays(columns, schema=_ROWS_ARROW).take(pa.array(some))
+        if not members:
+            return
+        cid, doc, mark, line = (np.concatenate(x) for x in zip(*members, strict=True))
+        order = np.lexsort((line, mark, doc, cid))
+        cid, doc, mark, line = (x[order] for x in (cid, doc, mark, line))
+        at = np.flatnonzero(np.concatenate([[True], cid[1:] != cid[:-1]])) if len(cid) else np.zeros(0, np.int64)
+        count = np.diff(np.append(at, len(cid))).astype(np.int32)
+        for lo in range(0, len(at), 1 << 16):
+            x = at[lo : lo + (1 << 16)]
+            m = len(x)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ones(m, np.int32)), pa.array(doc[x]), pa.array(mark[x]), pa.array(line[x]), pa.array(cid[x]), pa.array(count[lo : lo + m]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary())], schema=_ROWS_ARROW
+            )
+
+    return run
+
+
+def near_pairs(ratio: Ratio, small: int):
+    """The pairs of small token groups that pass the filters (kind 0), and the postings of larger groups (kind 1).
+
+    Batches come sorted by token and class; a group that reaches over batches is carried on.
+    """
+    num, den = ratio.num, ratio.den
+    names = ["kind", "a", "b", "n", "pos", "lo", "hi"]
+
+    def pairs(token, cid, n, pos, lo, hi):
+        out_a, out_b = [], []
+        i = np.arange(len(token))
+        for d in range(1, small):
+            i = i[i + d < len(token)]
+            i = i[token[i] == token[i + d]]
+            if not len(i):
+                break
+            j = i + d
+            both = n[i] + n[j]
+            ok = np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num
+            ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) * (num + den) >= both * num
+            x, y = i[ok], j[ok]
+            apart = np.bitwise_count((lo[x] ^ lo[y]).view(np.uint64)).astype(np.int64) + np.bitwise_count((hi[x] ^ hi[y]).view(np.uint64))
+            fits = (both[ok] - apart) // 2 * (num + den) >= both[ok] * num
+            out_a.append(cid[x[fits]])
+            out_b.append(cid[y[fits]])
+        if out_a:
+            a, b = np.concatenate(out_a), np.concatenate(out_b)
+            return np.minimum(a, b), np.maximum(a, b)
+
+    def done(parts):
+        token, cid, n, pos, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+        new = np.ones(len(token), bool)  # tasks may have posted one class each
+        new[1:] = (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])
+        token, cid, n, pos, lo, hi = (x[new] for x in (token, cid, n, pos, lo, hi))
+        at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(at, len(token)))
+        large, few = np.repeat(size > small, size), np.repeat((size > 1) & (size <= small), size)
+        found = pairs(*(x[few] for x in (token, cid, n, pos, lo, hi)))
+        if found is not None and len(found[0]):
+            m = len(found[0])
+            none = pa.nulls(m, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), *map(pa.array, found), none, none, none, none], names=names)
+        if large.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(large.sum()), np.int32)), *(pa.array(x[large]) for x in (token, cid, n, pos, lo, hi))], names=names)
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            if sum(len(x[0]) for x in held) >= GROUPED and held[0][0][0] != held[-1][0][-1]:
+                last = [np.searchsorted(x[0], held[-1][0][-1]) for x in held]  # the last group may go on
+                yield from done([[c[:at] for c in x] for x, at in zip(held, last, strict=True)])
+                held = [[c[at:] for c in x] for x, at in zip(held, last, strict=True) if at < len(x[0])]
+        if held:
+            yield from done(held)
+
+    return run
 
-    return keep
 
+def agree(ratio: Ratio):
+    """The (a, b) whose sets x and y reach the ratio."""
 
-def removed_lines(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """(doc, gone): for each document the lines (line, cid) that an earlier line matches."""
-    join = SetJoin(prepared(docs, id_col, text_col), line_records(k), Ratio(num, den)).run()
-    cut = join.scratch.cut
-    order = join.classes.select("cid", "doc", "line")
+    def hits(x: pa.Array, y: pa.Array) -> np.ndarray:
+        keys, size = [], []
+        for side, z in enumerate((x, y)):
+            ends = np.frombuffer(z.buffers()[1], np.int32)[z.offset : z.offset + len(z) + 1].astype(np.int64)
+            own = unpack40(np.frombuffer(z.buffers()[2], np.uint8)[ends[0] : ends[-1]])
+            size.append(np.diff(ends) // 5)
+            keys.append(np.repeat(np.arange(len(z), dtype=np.int64), size[-1]) << 41 | own << 1 | side)
+        key = np.sort(np.concatenate(keys))
+        twice = (key[1:] ^ key[:-1]) == 1  # a token of either side of one pair
+        same = np.bincount(key[1:][twice] >> 41, minlength=len(x))
+        return same * ratio.den >= (size[0] + size[1] - same) * ratio.num
 
-    def later(links: DataFrame) -> DataFrame:
-        a, b = (order.select(F.col("cid").alias(x), F.struct("doc", "line").alias(f"f{x}")) for x in "ab")
-        return links.join(a, "a").join(b, "b").select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("cid")).distinct()
+    def run(batches):
+        for batch in batches:
+            lengths = sum(pc.binary_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (batch.column(2), batch.column(3)))
+            ends, at = np.cumsum(lengths), 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COMPARED)))
+                part = batch.slice(at, to - at)
+                yield part.select([0, 1]).filter(pa.array(hits(part.column(2), part.column(3))))
+                at = to
 
-    stars = cut(join.star_candidates())
-    matched = cut(later(join.verified(stars)))
-    rest = cut(join.rest_candidates(matched.withColumn("grp", F.col("cid")), stars, either=False))
-    if not rest.isEmpty():
-        matched = cut(matched.unionByName(later(join.verified(rest))).distinct())
-    firsts = join.classes.select("cid", "size", F.col("doc").alias("fdoc"), F.col("line").alias("fline"))
-    firsts = cut(firsts.join(matched.withColumn("hit", F.lit(True)), "cid", "left").filter("hit or size > 1").drop("size"))
-    gone = join.members.filter("n > 0").join(firsts, "cid").filter(F.col("hit") | (F.col("doc") != F.col("fdoc")) | (F.col("line") != F.col("fline")))
-    return cut(gone.groupBy("doc").agg(F.collect_set(F.struct("line", "cid")).alias("gone")))
+    return run
+
+
+def _fits(ratio: Ratio, x: str, y: str) -> Column:
+    """The length, position and bitmap filters on two postings of one token."""
+    num, den = ratio.num, ratio.den
+    c = lambda s, name: F.col(f"{s}.{name}")
+    both = c(x, "n") + c(y, "n")
+    length = F.least(c(x, "n"), c(y, "n")) * den >= F.greatest(c(x, "n"), c(y, "n")) * num
+    rest = F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos")) * (num + den) >= both * num
+    apart = sum((F.bit_count(c(x, w).bitwiseXOR(c(y, w))) for w in ("lo", "hi")), F.lit(0))
+    return length & rest & (F.floor((both - apart) / 2) * (num + den) >= both * num)
+
+
+def verified(pairs: DataFrame, rows: DataFrame, ratio: Ratio, scratch: Scratch) -> DataFrame:
+    """The (a, b) of `pairs` whose sets reach the ratio; a line's pairs are dealt in chunks."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    sets = rows.filter("kind = 0 and length(tokens) > 0").select("cid", "tokens").join(wanted, "cid", "left_semi")
+    sets = scratch.cut(sets.groupBy("cid").agg(F.first("tokens").alias("tokens")))
+    parts = scratch.cut(pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(1) / {CHUNK}) as int)").alias("k")))
+    right = pairs.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b").join(parts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
+    left = parts.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
+    both = right.select("a", "b", "salt", "y").join(left, ["a", "salt"]).select("a", "b", "x", "y")
+    return scratch.cut(both.mapInArrow(agree(ratio), "a long, b long"))
+
+
+def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> DataFrame:
+    """(doc, mark, gone): for each document the numbers of the lines that an earlier line matches.
+
+    `own` has (doc, text, mark). A pair is known as (a, b) with a earlier than b.
+    """
+    cut, records = scratch.cut, line_records(k)
+
+    def hashes(batch):
+        for _, _, h, _ in records(batch):
+            yield h
+
+    rarity = own.sparkSession.sparkContext.broadcast(S.build(own, hashes, SKETCH_BITS))
+    rows = cut(own.mapInArrow(class_rows(records, ratio, rarity), _ROWS))
+    firsts = rows.filter("kind = 1").groupBy("cid").agg(F.min(F.struct(*_FIRST)).alias("f"), F.sum("n").alias("size"))
+    classes = cut(firsts.select("cid", "f", "size"))
+
+    posts = rows.filter("kind = 0 and size(prefix) > 0").select("cid", "n", "skip", "lo", "hi", F.posexplode("prefix").alias("p", "token"))
+    posts = posts.select("token", "cid", F.col("n").cast("long").alias("n"), (F.col("p") + F.col("skip")).cast("long").alias("pos"), "lo", "hi")
+    hot = F.shiftrightunsigned("token", 56) >= HOT
+    grouped = cut(posts.filter(~hot).repartition("token").sortWithinPartitions("token", "cid").mapInArrow(near_pairs(ratio, SMALL), "kind int, a long, b long, n long, pos long, lo long, hi long"))
+    often = posts.filter(hot).groupBy("token", "cid").agg(*[F.first(c).alias(c) for c in ("n", "pos", "lo", "hi")])
+    large = grouped.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cid"), "n", "pos", "lo", "hi").unionByName(often)
+    large = cut(large.join(classes.select("cid", "f"), "cid"))
+    lead = F.min(F.struct("f", "cid", "n", "pos", "lo", "hi")).alias("x")
+    leads = cut(large.groupBy("token").agg(lead, F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
+    y = large.select("token", F.struct("f", "cid", "n", "pos", "lo", "hi").alias("y"))
+    stars = y.join(leads, "token").filter((F.col("x.cid") != F.col("y.cid")) & _fits(ratio, "x", "y")).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        a, b = (classes.select(F.col("cid").alias(c), F.col("f").alias(f"f{c}")) for c in "ab")
+        first = F.col("fa") < F.col("fb")
+        return pairs.join(a, "a").join(b, "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), "shared")
+
+    def settle(pairs: DataFrame, settled: DataFrame | None) -> DataFrame:
+        later = verified(pairs, rows, ratio, scratch).select(F.col("b").alias("cid")).distinct()
+        return cut(later if settled is None else later.unionByName(settled).distinct())
+
+    # a line is compared with the candidate that shares most rare tokens first, with others only if that fails
+    near = grouped.filter("kind = 0").select("a", "b").unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    tested = cut(ordered(near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))))
+    best = cut(tested.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select("m.a", "b"))
+    settled = settle(best, None)
+    more = cut(tested.join(settled.select(F.col("cid").alias("b")), "b", "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b"))
+    if not more.isEmpty():
+        settled = settle(more, settled)
+    # what the earliest postings left open in larger groups
+    if not leads.isEmpty():
+        x = large.join(settled, "cid", "left_anti").select("token", F.struct("f", "cid", "n", "pos", "lo", "hi").alias("x"))
+        open_pairs = x.join(y, "token").filter((F.col("y.f") < F.col("x.f")) & _fits(ratio, "y", "x")).select(F.col("y.cid").alias("a"), F.col("x.cid").alias("b")).distinct()
+        rest = cut(open_pairs.join(tested, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            settled = settle(rest, settled)
+
+    scratch.drop(grouped, large, leads, tested, best, more)
+    out = classes.join(settled.withColumn("hit", F.lit(True)), "cid", "left").filter("hit or size > 1")
+    out = cut(out.select("cid", "hit", *[F.col(f"f.{c}").alias(f"f{c}") for c in _FIRST]))
+    other = (F.col("doc") != F.col("fdoc")) | (F.col("mark") != F.col("fmark")) | (F.col("line") != F.col("fline"))
+    gone = rows.filter("kind = 0").select("cid", *_FIRST).join(out, "cid").filter(F.col("hit") | other)
+    return cut(gone.groupBy("doc", "mark").agg(F.collect_set("line").alias("gone")))
+
+
+def kept_lines():
+    """A column function: texts without the numbered lines; where none are numbered, the text is not passed."""
+
+    @F.pandas_udf("text string, n_removed long")
+    def keep(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
+        out, n = [None] * len(text), np.zeros(len(text), np.int64)
+        for i, (t, g) in enumerate(zip(text, gone, strict=True)):
+            if t is not None and g is not None and len(g):
+                drop = set(np.asarray(g).tolist())
+                out[i], n[i] = "\n".join(x for j, x in enumerate(t.split("\n")) if j not in drop), len(drop)
+        return pd.DataFrame({"text": out, "n_removed": n})
+
+    return keep
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, lines_col: str = "_n_lines", removed_col: str = "_n_removed") -> DataFrame:
     """The rows of docs with later near-duplicate lines taken out, and _n_lines, _n_removed.
 
-    Lines end at \\n. A line's tokens are its distinct k-word shingles (its whole sequence, if it
-    has fewer words); lines match at Jaccard >= num/den. Every line that matches an earlier line
-    of the table, by (id, line number), goes, whether or not the earlier one stays. Blank lines
-    match nothing. Null and empty texts stay as they are, rows that repeat an id with one text
-    count as one document, a null id is smaller than all others. All columns are kept.
+    Lines end at \\n. With k = 1 a line's tokens are its distinct words, else its distinct k-word
+    shingles (its whole sequence, if it has fewer words); lines match at Jaccard >= num/den.
+    Every line that matches an earlier line of the table, by (id, line number), goes, whether or
+    not the earlier one stays. Blank lines match nothing; null and empty texts stay as they are.
+    Rows that repeat an id and its text count as one document; rows that repeat an id with other
+    texts are documents of their own, ordered by a hash of the text. A null id is smaller than
+    all others. All columns are kept, an empty table gives none; the two new columns can be named.
     """
-    gone = removed_lines(docs, id_col, text_col, k, num, den).withColumnsRenamed({"doc": "_skein_doc", "gone": "_skein_gone"})
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID).cast("long"))
-    out = docs.withColumn("_skein_doc", key).join(gone, "_skein_doc", "left")
-    out = out.withColumn("_skein_kept", kept_lines(k)(F.col(text_col), F.col("_skein_gone")))
-    cols = [F.col("_skein_kept.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*cols, F.col("_skein_kept.n_lines").alias("_n_lines"), F.col("_skein_kept.n_removed").alias("_n_removed"))
+    scratch = Scratch(docs.sparkSession)
+    names = docs.columns
+    docs = docs.toDF(*[f"_{i}" for i in range(len(names))])  # names of the caller's must not clash with ours
+    text, doc = f"_{names.index(text_col)}", F.coalesce(F.col(f"_{names.index(id_col)}").cast("long"), F.lit(NO_ID).cast("long")).alias("doc")
+    mark = F.xxhash64(text).alias("mark")
+    gone = removed_lines(docs.select(doc, F.col(text).alias("text"), mark), k, Ratio(num, den), scratch)
+    out = docs.withColumns({"doc": doc, "mark": mark}).join(gone.hint("shuffle_hash"), ["doc", "mark"], "left")
+    some = F.col("gone").isNotNull()
+    out = out.withColumn("kept", kept_lines()(F.when(some, F.col(text)), F.col("gone")))
+    n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)
+    kept = {text: F.when(some, F.col("kept.text")).otherwise(F.col(text))}
+    cols = [kept.get(f"_{i}", F.col(f"_{i}")).alias(c) for i, c in enumerate(names)]
+    return out.select(*cols, n_lines.cast("long").alias(lines_col), F.coalesce("kept.n_removed", F.lit(0)).cast("long").alias(removed_col))

@@ -47,7 +47,7 @@ def op3(spark, sf):
 
     from skein.llm.line_dedup import dedup_lines
 
-    out = dedup_lines(table(spark, sf, "documents"), k=5, num=4, den=5)
+    out = dedup_lines(table(spark, sf, "documents"), k=1, num=4, den=5)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
