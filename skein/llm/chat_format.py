@@ -91,15 +91,16 @@ def _parts(conv: np.ndarray, valid: np.ndarray, roles: pa.Array, texts: pa.Array
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
     """(conv_id, part, formatted, n_turns, loss_start, loss_end): the conversations as marked text.
 
-    Turns are ordered by number, then role and text; null numbers come first. The rows are
-    range-partitioned by that order, so a very long conversation spreads over tasks and comes
+    Turns are ordered by number, then role, then a hash of role and text; null numbers come
+    first, rows that repeat are turns each. The rows are range-partitioned by that order, so a very long conversation spreads over tasks and comes
     as several parts, to be read in the order of `part`; others have one. Loss spans are byte
     offsets into `formatted` that cover the contents of `loss_role` turns. Null roles and texts
-    count as empty, a null conv_id is a conversation of its own.
+    count as empty, a null conv_id is a conversation of its own, an empty table gives none;
+    other columns are ignored.
     """
     rows = turns.select(F.col(conv_col).cast("long").alias("c"), F.col(turn_col).cast("long").alias("t"), F.col(role_col).alias("r"), F.col(text_col).alias("x")).withColumn("h", F.xxhash64("r", "x"))
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "c", "t", "h").sortWithinPartitions("c", "t", "r", "h", "x").select("c", "r", "x")
+    rows = rows.repartitionByRange(n, "c", "t", "r", "h").sortWithinPartitions("c", "t", "r", "h", "x").select("c", "r", "x")
 
     def run(batches):
         from pyspark import TaskContext
