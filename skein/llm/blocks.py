@@ -11,9 +11,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
 
+
+def free_name(base: str, *frames: DataFrame) -> str:
+    """`base`, with underscores behind it until no column is called so (letter case aside)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def first_by_hash(df: DataFrame, keys: list[str], rows: int, limit: int) -> DataFrame:
+    """The `limit` rows of `rows` with the least hash of their keys: the same ones every time.
+
+    Only rows below a hash that about 1.2 * limit + 100 rows undercut are sorted and sent on, so
+    what reaches one place does not grow with the table.
+    """
+    h = F.xxhash64(*keys)
+    if rows > 4 * (limit + 100):
+        df = df.filter(h < F.lit(-(1 << 63) + int((1.2 * limit + 100) / rows * (1 << 64))))
+    return df.orderBy(h, *keys).limit(limit)
+
 _rng = np.random.Generator(np.random.PCG64(20240601))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -9,14 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.blocks import first_by_hash
 from skein.llm.components import components
 from skein.runtime import Scratch
 
 #: Vectors that the codebooks are fitted on, by hash order; the first QUERIES of them are compared
 #: with the whole table for the number of visited cells.
 SAMPLE, QUERIES = 8192, 1024
-#: Codewords of either half, and rows of either side that one comparison holds.
-WORDS, BLOCK = 32, 1024
+#: Least and most codewords of either half: their number grows with the vectors, about CELL of one
+#: label to a cell of the grid.
+WORDS, CELL = (32, 128), 64
+#: Rows of either side that one comparison holds, and vectors whose cells are ranked at once.
+BLOCK, RANKED = 1024, 64
 TARGET = 0.995
 #: With fewer near pairs than this, the greatest rank counts, and SPARSE visits at least.
 FEW, SPARSE = 200, 16
@@ -66,12 +70,19 @@ def nearest_cells(unit: np.ndarray, left: np.ndarray, right: np.ndarray, visits:
 
 def cell_ranks(unit: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The rank of every cell by its distance, for each vector."""
-    order = nearest_cells(unit, left, right, len(left) * len(right))
-    ranks = np.empty(order.shape, np.int16)
-    np.put_along_axis(ranks, order, np.arange(order.shape[1], dtype=np.int16)[None], 1)
+    every = len(left) * len(right)
+    ranks = np.empty((len(unit), every), np.int16)
+    for lo in range(0, len(unit), RANKED):
+        order = nearest_cells(unit[lo : lo + RANKED], left, right, every)
+        np.put_along_axis(ranks[lo : lo + RANKED], order, np.arange(every, dtype=np.int16)[None], 1)
     return ranks
 
 
+def codewords(classes: int, labels: int) -> int:
+    """Codewords of either half for a table of so many classes and labels."""
+    return min(max(int((classes / max(1, labels) / CELL) ** 0.5), WORDS[0]), WORDS[1])
+
+
 def visits(counts: dict[int, int], every: int, target: float = TARGET) -> int:
     """The visits after which `target` of the near pairs are found; counts: pairs by rank."""
     total = sum(counts.values())
@@ -85,7 +96,7 @@ def visits(counts: dict[int, int], every: int, target: float = TARGET) -> int:
     return min(every, max(8, rank + 2))
 
 
-def fit(classes: DataFrame, cids: np.ndarray, unit: np.ndarray, label: list[str], threshold: float, words: int = WORDS) -> Index:
+def fit(classes: DataFrame, cids: np.ndarray, unit: np.ndarray, label: list[str], threshold: float, words: int = WORDS[0]) -> Index:
     """Codebooks from the sample, and visits from the first QUERIES of it against all `classes` of their length."""
     half = unit.shape[1] // 2
     left, right = _kmeans(unit[:, :half], words, 1), _kmeans(unit[:, half:], words, 2)
@@ -130,31 +141,38 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     block by block. Vectors link with those of their length; every length has its own codebooks,
     one of at most `sample` classes is a single cell instead, unless it is the most frequent.
     Vectors that are null, zero, or hold null or non-finite components, and those without a
-    label, link with nothing. Repeated ids are rows of
-    their own; an empty table gives none.
+    label, link with nothing. Components are scaled by a power of two, which is exact, so that
+    squares of very large or small ones neither overflow nor vanish. Repeated ids are rows of
+    their own; other columns are ignored; an empty table gives none.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
     v = F.col(vec_col)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.transform(v, lambda x: x.cast("double")).alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("dim", F.when(F.col("label").isNotNull() & F.coalesce(fine, F.lit(False)), F.size("v")))
+    # two halves of the power: a whole one may lie beyond the doubles
+    power = F.floor(F.log2(F.array_max(F.transform("v", lambda x: F.abs(x)))))
+    half = F.floor(power / 2)
+    scaled = F.transform("v", lambda x: x * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - power))
+    rows = rows.withColumn("v", F.when(F.col("dim").isNotNull(), scaled))
     # -0.0 and 0.0 are one value; two vectors that differ in that alone have cosine 1 as well
     rows = scratch.cut(rows.withColumn("cid", F.when(F.col("dim").isNotNull(), F.xxhash64("label", F.transform("v", lambda x: x + F.lit(0.0))))))
     # the length is part of the label from here on
     keyed = rows.filter("cid is not null").withColumn("label", F.concat_ws(":", F.col("dim").cast("string"), "label"))
     classes = keyed.groupBy("cid", "dim", "label").agg(F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("first"), F.first("v").alias("v"))
     classes = scratch.cut(classes)
-    sizes = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("rows"))
+    sizes = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("rows"), F.count_distinct("label").alias("labels"))
+    sizes = scratch.cut(sizes)
     usual = sizes.orderBy(F.desc("rows"), F.desc("dim")).limit(1).collect()  # one row
     if not usual:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    fitted = {usual[0]["dim"]} | {r["dim"] for r in sizes.filter(F.col("n") > sample).select("dim").collect()}  # lengths of many classes
+    fitted = {r["dim"]: r for r in [*usual, *sizes.filter(F.col("n") > sample).collect()]}  # lengths of many classes
     index = {}
-    for dim in fitted:
+    for dim, r in fitted.items():
         of_dim = classes.filter(F.col("dim") == dim)
-        some = of_dim.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("cid", "label", "v").collect()  # `sample` rows
+        some = first_by_hash(of_dim, ["cid"], r["n"], sample).select("cid", "label", "v").collect()  # `sample` rows
         x = np.array([r["v"] for r in some])
-        index[dim] = fit(of_dim, np.array([r["cid"] for r in some]), x / np.sqrt((x * x).sum(1))[:, None], [r["label"] for r in some], threshold)
+        index[dim] = fit(of_dim, np.array([r["cid"] for r in some]), x / np.sqrt((x * x).sum(1))[:, None], [r["label"] for r in some], threshold, codewords(r["n"], r["labels"]))
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches):
