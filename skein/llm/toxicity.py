@@ -16,6 +16,8 @@ from skein.runtime import Scratch
 
 #: The learner takes at most so many documents of either label, in the order of a hash of their id.
 MAX_FIT = 10_000
+#: and fewer of them if their texts hold more bytes than this.
+MAX_BYTES = 256 << 20
 BITS = 22
 #: Bytes of a word's stem: inflected forms share it.
 STEM = 4
@@ -91,21 +93,28 @@ def ftrl(docs: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, alpha:
     return Model(found, w[found], float(weights(zb, nb, 0.0)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_fit: int = MAX_FIT) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_fit: int = MAX_FIT, max_bytes: int = MAX_BYTES) -> Model:
     """A model of the labelled rows of `labels` whose text `docs` has, at most max_fit of each label.
 
-    The sample is the first rows by a hash of the id, whole texts; it is balanced back by
-    weights to the labels' own proportions. One task learns from it: its size is the bound's.
+    The sample is the first rows by a hash of the id, whole texts, in the proportion of max_bytes
+    fewer if theirs hold more; it is balanced back by weights to the labels' own proportions. One
+    task learns from it: its size is the bounds'. Of an id's labels the largest counts, rows that
+    repeat an id are learned from each.
     """
     scratch = Scratch(docs.sparkSession)
     own = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter(F.col("i").isNotNull() & F.col("y").isin(0, 1)).groupBy("i").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    picked = None
-    for y in (0, 1):
-        part = own.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(max_fit)
-        picked = part if picked is None else picked.unionByName(part)
-    picked = scratch.cut(picked)
-    sample = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(picked), "i").select("i", "t", "y")  # broadcast: 2 * max_fit rows
+
+    def sampled(limit: int) -> DataFrame:
+        part = [B.first_by_hash(own.filter(F.col("y") == y), ["i"], counts.get(y, 0), limit) for y in (0, 1)]
+        picked = scratch.cut(part[0].unionByName(part[1]))
+        return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(picked), "i").select("i", "t", "y")  # broadcast: 2 * max_fit rows
+
+    sample = sampled(max_fit)
+    size = sample.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    if size > max_bytes:
+        max_fit = max(1, int(min(max_fit, max(counts.values())) * max_bytes / size))
+        sample = sampled(max_fit)
     share = {y: counts.get(y, 0) / max(1, min(counts.get(y, 0), max_fit)) for y in (0, 1)}
     scale = max(1.0, min(share.values()))
 
@@ -165,12 +174,13 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, score_col: str = "_score", predicted_col: str = "_predicted") -> DataFrame:
     """docs with _score and _predicted; the model learns from labels of rows that are not held out.
 
     Null and empty texts are scored by the bias alone; rows with a null id are scored and never
-    learned from; without usable labels every score is 0.5.
+    learned from; without usable labels every score is 0.5. Equal texts have equal scores, an
+    empty table gives none. The two columns can be named; columns of their names are replaced.
     """
     model = fit(docs, labels.filter(~held_out()))
-    out = docs.withColumn("_score", score_column(docs.sparkSession, model)(F.col("text")))
-    return out.withColumn("_predicted", (F.col("_score") >= threshold).cast("int"))
+    out = docs.withColumn(score_col, score_column(docs.sparkSession, model)(F.col("text")))
+    return out.withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))
