@@ -69,7 +69,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return [], np.zeros((1 << BITS, 0), np.float32)
     limits = docs.sparkSession.createDataFrame([(r["g"], k, min(1.0, max_fit / r["n"])) for k, r in enumerate(counts)], "g string, k int, share double")
     u = F.pmod(F.xxhash64("i"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = own.join(F.broadcast(limits), "g").filter(u < F.col("share")).select("k", "t")
+    sample = own.join(limits, "g").filter(u < F.col("share")).select("k", "t")
 
     def count(batches):
         acc: dict[int, np.ndarray] = {}
@@ -131,12 +131,15 @@ def predict_column(spark, langs: list[str], logp: np.ndarray):
     return predict
 
 
-def identify(docs: DataFrame, train: DataFrame, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, train: DataFrame, text_col: str = "text", lang_col: str = "_lang", score_col: str = "_score") -> DataFrame:
     """docs with _lang, _score, from a model of the languages that `train` names.
 
-    Texts that are null or hold no letter get `und` with score 0. Ids, languages and sources of
-    docs are not looked at.
+    Texts that are null or hold no letter get `und` with score 0, and so do all if `train` names
+    no language. Ids, languages and sources of docs are not looked at; rows that repeat are
+    predicted each; an empty table gives none. The two columns can be named; columns of their
+    names are replaced.
     """
     langs, logp = fit(train)
-    out = docs.withColumn("_p", predict_column(docs.sparkSession, langs, logp)(F.col(text_col)))
-    return out.withColumn("_lang", F.col("_p.lang_pred")).withColumn("_score", F.col("_p.score")).drop("_p")
+    p = B.free_name("_p", docs)
+    out = docs.withColumn(p, predict_column(docs.sparkSession, langs, logp)(F.col(text_col)))
+    return out.withColumn(lang_col, F.col(f"{p}.lang_pred")).withColumn(score_col, F.col(f"{p}.score")).drop(p)
