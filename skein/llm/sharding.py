@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm import blocks as B
 from skein.llm.setjoin import NO_ID
 from skein.runtime import Scratch
 
@@ -15,13 +16,19 @@ from skein.runtime import Scratch
 SAMPLES, ROUNDS = 8192, 4
 
 
-def weighted_splitters(keys: DataFrame, ranges: int, samples: int) -> np.ndarray:
+def weighted_splitters(keys: DataFrame, ranges: int, samples: int, total: int) -> np.ndarray:
     """Range boundaries: quantiles of a size-weighted sample of (k1, k2, rid) without replacement.
 
     Every row races with -ln(u) / size, u a hash of its own; the first `samples` are the sample.
+    By the total size, at most about 4 * samples rows finish in the time that is looked at
+    first, so what is sent to the driver does not grow with the table.
     """
     u = (F.pmod(F.xxhash64("k1", "k2", "rid"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40) + 1)
-    won = keys.withColumn("_race", -F.log(u) / F.col("size")).orderBy("_race").limit(samples).select("k1", "k2", "rid").collect()  # `samples` rows
+    race = keys.select("k1", "k2", "rid", (-F.log(u) / F.col("size")).alias("_race"))
+    early = race.filter(F.col("_race") < 4.0 * samples / max(1, total))
+    won = early.orderBy("_race").limit(samples).select("k1", "k2", "rid").collect()  # `samples` rows
+    if len(won) < samples // 4:  # a few records hold nearly all bytes, or there are few
+        won = race.orderBy("_race").limit(samples).select("k1", "k2", "rid").collect()
     if not won:
         return np.zeros((0, 3), np.int64)
     rows = np.array(sorted((r["k1"], r["k2"], r["rid"]) for r in won), np.int64)
@@ -40,24 +47,26 @@ def _range_of(spark, splitters: np.ndarray):
         lo = np.searchsorted(split["a"], k1.to_numpy(), "left")
         hi = np.searchsorted(split["a"], k1.to_numpy(), "right")
         out = hi.copy()
-        for i in np.flatnonzero(hi > lo):  # equal first keys: copies of one text that a splitter cuts
-            key = (k1.iloc[i], k2.iloc[i], rid.iloc[i])
-            run = split[lo[i] : hi[i]]
-            out[i] = lo[i] + sum(tuple(s) <= key for s in run.tolist())
+        cut = np.flatnonzero(hi > lo)  # equal first keys: copies of one text that a splitter cuts
+        if len(cut):
+            own = np.empty(len(cut), split.dtype)
+            own["a"], own["b"], own["c"] = (x.to_numpy()[cut] for x in (k1, k2, rid))
+            out[cut] = np.searchsorted(split, own, "right")
         return pd.Series(out.astype("int32"))
 
     return of
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot): shards 0.. of nearly equal total size.
+    """(doc_id, size, text_crc32, shard, slot, text_hash): shards 0.. of nearly equal total size.
 
     Size is the text's UTF-8 bytes (null: none) plus one. Records are ordered by the hash of
     their text, then id, so equal texts are neighbours and share a shard unless a boundary falls
     among them. Size-weighted samples give splitters of many small ranges; ranges that turn out
     overfull are subdivided by samples of their own. Within a range, running sums over the sorted
     records place every record at its exact byte, so shards differ by about one record's size.
-    Null ids sort first, rows that repeat are placed each.
+    Null ids sort first, rows that repeat are placed each, other columns are ignored, an empty
+    table gives none.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     text = F.col(text_col)
@@ -70,7 +79,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     base = scratch.cut(base.withColumn("rid", F.monotonically_increasing_id()).withColumn("k2", F.coalesce("doc_id", F.lit(NO_ID).cast("long"))))
     ranges = max(4 * shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
     total = base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    split = weighted_splitters(base, ranges, samples)
+    split = weighted_splitters(base, ranges, samples, total)
     for _ in range(ROUNDS):
         placed = base.withColumn("range", _range_of(spark, split)("k1", "k2", "rid"))
         sums = {r["range"]: (r["s"], r["n"], r["m"]) for r in placed.groupBy("range").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"), F.max("size").alias("m")).collect()}  # one row a range
@@ -80,7 +89,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
             break
         part = placed.filter(F.col("range").isin(over))
         parts = int(sum(sums[k][0] for k in over) / limit * 4) + 2
-        split = np.unique(np.concatenate([split, weighted_splitters(part, parts, samples)]), axis=0)
+        split = np.unique(np.concatenate([split, weighted_splitters(part, parts, samples, sum(sums[k][0] for k in over))]), axis=0)
     at, before = 0, {}
     for k in sorted(sums):
         before[k] = at
@@ -116,11 +125,24 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     counts = out.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"))
     ahead = counts.select("shard", "range", (F.sum("n").over(W.partitionBy("shard").orderBy("range")) - F.col("n")).alias("ahead"))  # a row for each range
     rank = F.row_number().over(W.partitionBy("range", "shard").orderBy("k1", "k2", "rid"))
-    slots = out.withColumn("_r", rank).join(F.broadcast(ahead), ["shard", "range"]).withColumn("slot", F.col("ahead") + F.col("_r") - 1)
-    return slots.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
+    slots = out.withColumn("_r", rank).join(ahead, ["shard", "range"]).withColumn("slot", F.col("ahead") + F.col("_r") - 1)
+    return slots.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), F.col("k1").alias("text_hash"))
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """The documents as one folder of Parquet files per shard."""
-    joined = docs.join(assigned.select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col)
-    joined.write.mode("overwrite").partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """The documents as one folder of Parquet files per shard, with `shard` and `slot`.
+
+    Every row of docs is written once: rows meet their places by id, null included, and text;
+    rows that repeat both take the places of their kind in turn. The columns must not be called
+    shard or slot.
+    """
+    from pyspark.sql import Window as W
+
+    own, key = [B.free_name(c, docs) for c in ("_id", "_hash", "_nth")], ["_i", "_h", "_o"]
+    rows = docs.withColumns({own[0]: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID).cast("long")), own[1]: F.xxhash64(text_col)})
+    rows = rows.withColumn(own[2], F.row_number().over(W.partitionBy(*own[:2]).orderBy(F.lit(0))))
+    place = assigned.select(F.coalesce("doc_id", F.lit(NO_ID).cast("long")).alias("_i"), F.col("text_hash").alias("_h"), "shard", "slot")
+    place = place.withColumn("_o", F.row_number().over(W.partitionBy("_i", "_h").orderBy("shard", "slot")))
+    on = [rows[a] == place[b] for a, b in zip(own, key, strict=True)]
+    out = rows.join(place, on).select(*[rows[c] for c in docs.columns], place["shard"], place["slot"])
+    out.write.mode("overwrite").partitionBy("shard").parquet(path)
