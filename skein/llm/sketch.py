@@ -1,8 +1,9 @@
 """Count-min sketches over all rows of a table: built per task, merged slice by slice, broadcast.
 
-A task turns its hashes into sorted slots with counts and emits them cut into slices; a slice is
-merged by one streaming pass that holds only that slice's counters. The merged sketch has a
-fixed size, 2^bits counters a row, whatever the input, so it may be collected and broadcast.
+A task turns its hashes into sorted slots with counts and emits them cut into slices; a slice's
+parts are merged FAN at a time, level by level, by streaming passes that hold one slice's
+counters, so what a task reads does not grow with the input. The merged sketch has a fixed size,
+2^bits counters a row, so it may be collected and broadcast.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICES = 64
+#: Parts of a slice that one task merges.
+FAN = 64
 _FLUSH = 1 << 23
 
 
@@ -45,15 +49,16 @@ def decode_gaps(data: bytes) -> np.ndarray:
     return np.cumsum(a.astype(np.int64))[a != 255]
 
 
-_EMIT = pa.schema([("slice", pa.int32()), ("gaps", pa.binary()), ("counts", pa.binary())])
+_PARTS = "slice int, part int, gaps binary, counts binary"
+_EMIT = pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("gaps", pa.binary()), ("counts", pa.binary())])
 _MERGED = pa.schema([("slice", pa.int32()), ("data", pa.binary())])
 
 
-def _emit(found: list[np.ndarray], bits: int, row: int) -> pa.RecordBatch:
+def _emit(found: list[np.ndarray], bits: int, row: int, part: int) -> pa.RecordBatch:
     values, counts = np.unique(np.concatenate(found), return_counts=True)
     width = 1 << bits - SLICES.bit_length() + 1
     cut = np.searchsorted(values, np.arange(SLICES + 1, dtype=np.int64) * width)
-    rows = [(row * SLICES + i, encode_gaps(values[a:b] - i * width), np.minimum(counts[a:b], 255).astype(np.uint8).tobytes()) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+    rows = [(row * SLICES + i, part, encode_gaps(values[a:b] - i * width), np.minimum(counts[a:b], 255).astype(np.uint8).tobytes()) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _EMIT.types, strict=True)], schema=_EMIT)
 
 
@@ -67,6 +72,9 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]
     width = 1 << bits - SLICES.bit_length() + 1
 
     def count(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
         found: list[list[np.ndarray]] = [[] for _ in range(rows)]
         held = 0
         for batch in batches:
@@ -75,30 +83,40 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]
                     found[r].append(slots(h, bits, r))
                 held += len(h) * rows
                 if held > _FLUSH:
-                    yield from (_emit(f, bits, r) for r, f in enumerate(found))
+                    yield from (_emit(f, bits, r, part) for r, f in enumerate(found))
                     found, held = [[] for _ in range(rows)], 0
         if held:
-            yield from (_emit(f, bits, r) for r, f in enumerate(found))
+            yield from (_emit(f, bits, r, part) for r, f in enumerate(found))
 
-    def merge(batches):
+    def merged_slices(batches):
+        """(slice, part, counters) of what a task reads, sorted by both."""
         now, acc = None, None
-
-        def done():
-            data = np.packbits(acc >= 2) if repeated else np.ceil(np.log2(acc + 1.0)).astype(np.uint8)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([data.tobytes()], pa.binary())], schema=_MERGED)
-
         for batch in batches:
-            for s, gaps, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s != now:
+            for s, p, gaps, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (s, p) != now:
                     if now is not None:
-                        yield done()
-                    now, acc = s, np.zeros(width, np.int64)
+                        yield *now, acc
+                    now, acc = (s, p), np.zeros(width, np.int64)
                 acc[decode_gaps(gaps)] += np.frombuffer(counts, np.uint8)
         if now is not None:
-            yield done()
+            yield *now, acc
+
+    def some(batches):
+        for s, p, acc in merged_slices(batches):
+            at = np.flatnonzero(acc)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([s], [p], [encode_gaps(at)], [np.minimum(acc[at], 255).astype(np.uint8).tobytes()]), _EMIT.types, strict=True)], schema=_EMIT)
 
-    parts = df.mapInArrow(count, "slice int, gaps binary, counts binary")
-    merged = parts.repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, data binary")
+    def whole(batches):
+        for s, _, acc in merged_slices(batches):
+            data = np.packbits(acc >= 2) if repeated else np.ceil(np.log2(acc + 1.0)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([data.tobytes()], pa.binary())], schema=_MERGED)
+
+    n = df.rdd.getNumPartitions()  # of the plan; nothing runs
+    parts = df.mapInArrow(count, _PARTS)
+    while n > FAN:
+        n = -(-n // FAN)
+        parts = parts.withColumn("part", F.expr(f"part div {FAN}").cast("int")).repartition(SLICES * n, "slice", "part").sortWithinPartitions("slice", "part").mapInArrow(some, _PARTS)
+    merged = parts.withColumn("part", F.lit(0)).repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(whole, "slice int, data binary")
     size = width // 8 if repeated else width
     out = np.zeros((rows * SLICES, size), np.uint8)
     for row in merged.collect():  # rows * SLICES rows of a fixed size; an iterator would run a job per partition

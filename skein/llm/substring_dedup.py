@@ -14,8 +14,9 @@ from skein.llm import sketch as S
 from skein.llm.ngram_join import original_id, prepared
 from skein.runtime import Scratch
 
-#: Width and rows of the count-min sketch: 2 x 2^28 counters, kept as 64 MB of bits.
-SKETCH_BITS, SKETCH_ROWS = 28, 2
+#: Rows of the count-min sketch, and the least and the largest log2 of its width, which follows
+#: the table's bytes: about eight counters an anchor. 2 x 2^29 counters are kept as 128 MB of bits.
+SKETCH_ROWS, SKETCH_BITS = 2, (22, 29)
 
 
 def _sliding(x: np.ndarray, w: int, f) -> np.ndarray:
@@ -55,14 +56,17 @@ def anchors(words: np.ndarray, first: np.ndarray, window: int, gram: int):
 def removed_windows(docs: DataFrame, window: int, gram: int, scratch: Scratch) -> DataFrame:
     """(doc, mark, starts): windows of a document that also start in a document with a smaller id.
 
-    `docs` has (doc, text, mark): mark tells rows that repeat an id apart.
+    `docs` has (doc, text, mark): mark, a hash of the text, tells rows that repeat an id apart.
     """
+
     def counted(batch):
         for _, _, b, off in B.blocks(batch.column(1)):
             s, e, first = B.word_spans(b, off)
             yield anchors(B.word_hashes(b, s, e), first, window, gram)[0]
 
-    merged = S.build(docs, counted, SKETCH_BITS, SKETCH_ROWS, repeated=True)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    anchored = size // 6 * 2 // (window - gram + 2)  # words, and the share of grams that are least in some window
+    merged = S.build(docs, counted, min(max((8 * anchored).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1]), SKETCH_ROWS, repeated=True)
     shared = docs.sparkSession.sparkContext.broadcast(merged)
     names = ["h", "tail", "doc", "mark", "starts"]
 
@@ -113,7 +117,7 @@ def removed_windows(docs: DataFrame, window: int, gram: int, scratch: Scratch) -
             first = gone[begin]
             yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.nulls(len(first), pa.int64()), pa.array(doc[first]), pa.array(mark[first]), starts], names=names)
 
-    rows = docs.mapInArrow(suspects, "h long, tail long, doc long, mark int, starts array<int>")
+    rows = docs.mapInArrow(suspects, "h long, tail long, doc long, mark long, starts array<int>")
     # tail is null in rows that a task has settled; they only travel along
     least = F.min("doc").over(W.partitionBy("h", "tail"))
     found = rows.withColumn("_least", least).filter(F.col("tail").isNull() | (F.col("doc") > F.col("_least")))
@@ -127,10 +131,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words of a window go whose word sequence also starts in a document with a smaller id; windows
     are judged on the input. Kept words are joined by one space. Null text has no words and gives
     an empty text; ids are taken as they are, a null id being the smallest; rows that repeat an
-    id never remove from each other; other columns are ignored.
+    id, with one text or several, never remove from each other; other columns are ignored; an
+    empty table gives none.
     """
     scratch = Scratch(docs.sparkSession)
-    own = prepared(docs, id_col, text_col).withColumn("mark", F.hash("text"))
+    own = prepared(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     gone = removed_windows(own, window, gram, scratch)
 
     @F.pandas_udf("text string, n_words long, n_removed long")
