@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm.blocks import free_name
 from skein.llm.decontaminate import find_leaks
 from skein.llm.line_dedup import dedup_lines
 from skein.llm.ngram_join import ngram_join
@@ -27,17 +28,19 @@ CAPACITY = 1024
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below REJECT."""
-    scored = score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), REJECT)
-    return scored.filter(F.col("_score") < REJECT).select(*docs.columns)
+    score, predicted = free_name("_score", docs), free_name("_predicted", docs)
+    scored = score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), REJECT, score, predicted)
+    return scored.filter(F.col(score) < REJECT).drop(score, predicted)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later near-duplicate lines; n_chars follows the text."""
-    out = dedup_lines(docs, k=5, num=4, den=5)
-    out = out.filter((F.col("_n_removed") == 0) | (F.regexp_replace("text", r"[\x20\x09-\x0D]+", "") != "") | F.col("text").isNull())
+    """Documents without later near-duplicate lines (sets of words, Jaccard 0.8); n_chars follows the text."""
+    lines, removed = free_name("_n_lines", docs), free_name("_n_removed", docs)
+    out = dedup_lines(docs, k=1, num=4, den=5, lines_col=lines, removed_col=removed)
+    out = out.filter((F.col(removed) == 0) | (F.regexp_replace("text", r"[\x20\x09-\x0D]+", "") != "") | F.col("text").isNull())
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(lines, removed)
 
 
 def row_key() -> Column:
