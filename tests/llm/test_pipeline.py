@@ -77,7 +77,7 @@ def lines_deduped(own):
     for i, text in sorted(own, key=lambda r: (r[0] is not None, r[0] or 0)):
         kept = []
         for line in (text or "").split("\n"):
-            s = shingles(line)
+            s = set(line.lower().split())
             if not any(s and len(s & t) * 5 >= len(s | t) * 4 for t in seen):
                 kept.append(line)
             seen.append(s)
