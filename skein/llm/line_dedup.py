@@ -36,9 +36,9 @@ CHUNK = 1024
 #: Bytes of sets that are compared at once, and postings that are grouped at once.
 COMPARED, GROUPED = 8 << 20, 1 << 17
 
-_ROWS = "kind int, doc long, mark long, line int, cid long, n int, skip int, lo long, hi long, prefix array<long>, tokens binary"
+_ROWS = "kind int, doc long, mark long, line int, cid long, n int, skip int, lo long, hi long, prefix array<long>"
 _ROWS_ARROW = pa.schema(
-    [("kind", pa.int32()), ("doc", pa.int64()), ("mark", pa.int64()), ("line", pa.int32()), ("cid", pa.int64()), ("n", pa.int32()), ("skip", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("prefix", pa.list_(pa.int64())), ("tokens", pa.binary())]
+    [("kind", pa.int32()), ("doc", pa.int64()), ("mark", pa.int64()), ("line", pa.int32()), ("cid", pa.int64()), ("n", pa.int32()), ("skip", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("prefix", pa.list_(pa.int64()))]
 )
 _FIRST = ["doc", "mark", "line"]
 
@@ -81,19 +81,8 @@ def bitmaps(t: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo, hi
 
 
-def pack40(t: np.ndarray) -> np.ndarray:
-    """The low 40 bits of each token as five bytes; sets are compared by these and by their length."""
-    return t.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-
-
-def unpack40(raw: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = raw.reshape(-1, 5)
-    return out.reshape(-1).view("<i8")
-
-
 def class_rows(records, ratio: Ratio, rarity):
-    """The rows of a task: kind 0 for each line with tokens, its set and postings where the class is new; kind 1 for the earliest line of each class and its count."""
+    """The rows of a task: kind 0 for each line with tokens, its prefix and bitmap where the class is new; kind 1 for the earliest line of each class and its count."""
 
     def run(batches):
         seen: set[int] = set()
@@ -118,13 +107,10 @@ def class_rows(records, ratio: Ratio, rarity):
                 off = np.concatenate([[0], np.cumsum(size)])
                 pos = np.arange(off[-1]) + np.repeat(start[:-1] + skip - off[:-1], size)
                 lo, hi = bitmaps(t, start)
-                own = np.repeat(fresh, n)
-                ends = np.concatenate([[0], np.cumsum(np.where(fresh, n, 0))]) * 5
                 some = np.flatnonzero(n)
                 prefix = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(B.signed(t[pos])))
-                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(pack40(t[own])))])
                 doc, mark = ids[row], marks[row]
-                columns = [pa.array(np.zeros(len(n), np.int32)), pa.array(doc), pa.array(mark), pa.array(line.astype(np.int32)), pa.array(cid), pa.array(n.astype(np.int32)), pa.array(skip.astype(np.int32)), pa.array(B.signed(lo)), pa.array(B.signed(hi)), prefix, raw]
+                columns = [pa.array(np.zeros(len(n), np.int32)), pa.array(doc), pa.array(mark), pa.array(line.astype(np.int32)), pa.array(cid), pa.array(n.astype(np.int32)), pa.array(skip.astype(np.int32)), pa.array(B.signed(lo)), pa.array(B.signed(hi)), prefix]
                 members.append((cid[some], doc[some], mark[some], line[some].astype(np.int32)))
                 if len(some):
                     yield pa.RecordBatch.from_arrays(columns, schema=_ROWS_ARROW).take(pa.array(some))
@@ -139,7 +125,7 @@ def class_rows(records, ratio: Ratio, rarity):
             x = at[lo : lo + (1 << 16)]
             m = len(x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(m, np.int32)), pa.array(doc[x]), pa.array(mark[x]), pa.array(line[x]), pa.array(cid[x]), pa.array(count[lo : lo + m]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.binary())], schema=_ROWS_ARROW
+                [pa.array(np.ones(m, np.int32)), pa.array(doc[x]), pa.array(mark[x]), pa.array(line[x]), pa.array(cid[x]), pa.array(count[lo : lo + m]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64()))], schema=_ROWS_ARROW
             )
 
     return run
@@ -151,9 +137,10 @@ def near_pairs(ratio: Ratio, small: int):
     Batches come sorted by token and class; a group that reaches over batches is carried on.
     """
     num, den = ratio.num, ratio.den
-    names = ["kind", "a", "b", "n", "pos", "lo", "hi"]
+    names = ["kind", "a", "b", "at", "lo", "hi"]
 
-    def pairs(token, cid, n, pos, lo, hi):
+    def pairs(token, cid, at, lo, hi):
+        n, pos = at >> 32, at & 0xFFFFFFFF
         out_a, out_b = [], []
         i = np.arange(len(token))
         for d in range(1, small):
@@ -175,20 +162,20 @@ def near_pairs(ratio: Ratio, small: int):
             return np.minimum(a, b), np.maximum(a, b)
 
     def done(parts):
-        token, cid, n, pos, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+        token, cid, at, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
         new = np.ones(len(token), bool)  # tasks may have posted one class each
         new[1:] = (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])
-        token, cid, n, pos, lo, hi = (x[new] for x in (token, cid, n, pos, lo, hi))
-        at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.append(at, len(token)))
+        token, cid, at, lo, hi = (x[new] for x in (token, cid, at, lo, hi))
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(first, len(token)))
         large, few = np.repeat(size > small, size), np.repeat((size > 1) & (size <= small), size)
-        found = pairs(*(x[few] for x in (token, cid, n, pos, lo, hi)))
+        found = pairs(*(x[few] for x in (token, cid, at, lo, hi)))
         if found is not None and len(found[0]):
             m = len(found[0])
             none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), *map(pa.array, found), none, none, none, none], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), *map(pa.array, found), none, none, none], names=names)
         if large.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(large.sum()), np.int32)), *(pa.array(x[large]) for x in (token, cid, n, pos, lo, hi))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(large.sum()), np.int32)), *(pa.array(x[large]) for x in (token, cid, at, lo, hi))], names=names)
 
     def run(batches):
         held: list[list[np.ndarray]] = []
@@ -209,15 +196,17 @@ def agree(ratio: Ratio):
     """The (a, b) whose sets x and y reach the ratio."""
 
     def hits(x: pa.Array, y: pa.Array) -> np.ndarray:
-        keys, size = [], []
-        for side, z in enumerate((x, y)):
+        rows, own, size = [], [], []
+        for z in (x, y):
             ends = np.frombuffer(z.buffers()[1], np.int32)[z.offset : z.offset + len(z) + 1].astype(np.int64)
-            own = unpack40(np.frombuffer(z.buffers()[2], np.uint8)[ends[0] : ends[-1]])
-            size.append(np.diff(ends) // 5)
-            keys.append(np.repeat(np.arange(len(z), dtype=np.int64), size[-1]) << 41 | own << 1 | side)
-        key = np.sort(np.concatenate(keys))
-        twice = (key[1:] ^ key[:-1]) == 1  # a token of either side of one pair
-        same = np.bincount(key[1:][twice] >> 41, minlength=len(x))
+            own.append(np.frombuffer(z.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<i8"))
+            size.append(np.diff(ends) // 8)
+            rows.append(np.repeat(np.arange(len(z)), size[-1]))
+        row, own = np.concatenate(rows), np.concatenate(own)
+        order = np.lexsort((own, row))
+        row, own = row[order], own[order]
+        # sets are distinct, so equal neighbours come from either side of one pair
+        same = np.bincount(row[1:][(row[1:] == row[:-1]) & (own[1:] == own[:-1])], minlength=len(x))
         return same * ratio.den >= (size[0] + size[1] - same) * ratio.num
 
     def run(batches):
@@ -236,24 +225,43 @@ def agree(ratio: Ratio):
 def _fits(ratio: Ratio, x: str, y: str) -> Column:
     """The length, position and bitmap filters on two postings of one token."""
     num, den = ratio.num, ratio.den
-    c = lambda s, name: F.col(f"{s}.{name}")
-    both = c(x, "n") + c(y, "n")
-    length = F.least(c(x, "n"), c(y, "n")) * den >= F.greatest(c(x, "n"), c(y, "n")) * num
-    rest = F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos")) * (num + den) >= both * num
-    apart = sum((F.bit_count(c(x, w).bitwiseXOR(c(y, w))) for w in ("lo", "hi")), F.lit(0))
-    return length & rest & (F.floor((both - apart) / 2) * (num + den) >= both * num)
+    n, m = (F.shiftright(f"{c}.at", 32) for c in (x, y))
+    rest = F.least(*[F.shiftright(f"{c}.at", 32) - F.col(f"{c}.at").bitwiseAND(F.lit(0xFFFFFFFF)) for c in (x, y)])
+    apart = sum((F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in ("lo", "hi")), F.lit(0))
+    length = F.least(n, m) * den >= F.greatest(n, m) * num
+    return length & (rest * (num + den) >= (n + m) * num) & (F.floor((n + m - apart) / 2) * (num + den) >= (n + m) * num)
+
 
+def sets_of(own: DataFrame, classes: DataFrame, wanted: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(cid, tokens): the hashed token sets of the wanted classes, cut anew from their first lines."""
+    records = line_records(k)
+    where = classes.join(wanted, "cid").select("cid", "f.doc", "f.mark", "f.line")
+    where = scratch.cut(where.groupBy("doc", "mark").agg(F.collect_list(F.struct("line", "cid")).alias("want")))
 
-def verified(pairs: DataFrame, rows: DataFrame, ratio: Ratio, scratch: Scratch) -> DataFrame:
+    def cut(batches):
+        for batch in batches:
+            want = [{x["line"]: x["cid"] for x in w} for w in batch.column(2).to_pylist()]
+            for row, line, h, start in records(batch):
+                ids, out = [], []
+                pairs = zip(row.tolist(), line.tolist(), strict=True)
+                for i, (r, n) in enumerate(pairs):
+                    if n in want[r]:
+                        ids.append(want[r][n])
+                        out.append(np.unique(h[start[i] : start[i + 1]]).astype("<u8").tobytes())
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["cid", "tokens"])
+
+    found = own.join(where, ["doc", "mark"]).select("doc", "text", "want").mapInArrow(cut, "cid long, tokens binary")
+    return scratch.cut(found.groupBy("cid").agg(F.first("tokens").alias("tokens")))  # rows may repeat
+
+
+def verified(pairs: DataFrame, sets: DataFrame, ratio: Ratio, scratch: Scratch) -> DataFrame:
     """The (a, b) of `pairs` whose sets reach the ratio; a line's pairs are dealt in chunks."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    sets = rows.filter("kind = 0 and length(tokens) > 0").select("cid", "tokens").join(wanted, "cid", "left_semi")
-    sets = scratch.cut(sets.groupBy("cid").agg(F.first("tokens").alias("tokens")))
     parts = scratch.cut(pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(1) / {CHUNK}) as int)").alias("k")))
     right = pairs.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b").join(parts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
     left = parts.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
     both = right.select("a", "b", "salt", "y").join(left, ["a", "salt"]).select("a", "b", "x", "y")
-    return scratch.cut(both.mapInArrow(agree(ratio), "a long, b long"))
+    return both.mapInArrow(agree(ratio), "a long, b long")
 
 
 def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> DataFrame:
@@ -273,15 +281,16 @@ def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> Dat
     classes = cut(firsts.select("cid", "f", "size"))
 
     posts = rows.filter("kind = 0 and size(prefix) > 0").select("cid", "n", "skip", "lo", "hi", F.posexplode("prefix").alias("p", "token"))
-    posts = posts.select("token", "cid", F.col("n").cast("long").alias("n"), (F.col("p") + F.col("skip")).cast("long").alias("pos"), "lo", "hi")
+    at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("p") + F.col("skip")).cast("long"))  # tokens of the set, position
+    posts = posts.select("token", "cid", at.alias("at"), "lo", "hi")
     hot = F.shiftrightunsigned("token", 56) >= HOT
-    grouped = cut(posts.filter(~hot).repartition("token").sortWithinPartitions("token", "cid").mapInArrow(near_pairs(ratio, SMALL), "kind int, a long, b long, n long, pos long, lo long, hi long"))
-    often = posts.filter(hot).groupBy("token", "cid").agg(*[F.first(c).alias(c) for c in ("n", "pos", "lo", "hi")])
-    large = grouped.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cid"), "n", "pos", "lo", "hi").unionByName(often)
+    grouped = cut(posts.filter(~hot).repartition("token").sortWithinPartitions("token", "cid").mapInArrow(near_pairs(ratio, SMALL), "kind int, a long, b long, at long, lo long, hi long"))
+    often = posts.filter(hot).groupBy("token", "cid").agg(*[F.first(c).alias(c) for c in ("at", "lo", "hi")])
+    large = grouped.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cid"), "at", "lo", "hi").unionByName(often)
     large = cut(large.join(classes.select("cid", "f"), "cid"))
-    lead = F.min(F.struct("f", "cid", "n", "pos", "lo", "hi")).alias("x")
+    lead = F.min(F.struct("f", "cid", "at", "lo", "hi")).alias("x")
     leads = cut(large.groupBy("token").agg(lead, F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
-    y = large.select("token", F.struct("f", "cid", "n", "pos", "lo", "hi").alias("y"))
+    y = large.select("token", F.struct("f", "cid", "at", "lo", "hi").alias("y"))
     stars = y.join(leads, "token").filter((F.col("x.cid") != F.col("y.cid")) & _fits(ratio, "x", "y")).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
 
     def ordered(pairs: DataFrame) -> DataFrame:
@@ -289,27 +298,32 @@ def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> Dat
         first = F.col("fa") < F.col("fb")
         return pairs.join(a, "a").join(b, "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), "shared")
 
-    def settle(pairs: DataFrame, settled: DataFrame | None) -> DataFrame:
-        later = verified(pairs, rows, ratio, scratch).select(F.col("b").alias("cid")).distinct()
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+
+    def settle(pairs: DataFrame, sets: DataFrame, settled: DataFrame | None) -> DataFrame:
+        later = verified(pairs, sets, ratio, scratch).select(F.col("b").alias("cid")).distinct()
         return cut(later if settled is None else later.unionByName(settled).distinct())
 
     # a line is compared with the candidate that shares most rare tokens first, with others only if that fails
     near = grouped.filter("kind = 0").select("a", "b").unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     tested = cut(ordered(near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))))
     best = cut(tested.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select("m.a", "b"))
-    settled = settle(best, None)
+    sets = sets_of(own, classes, ends(tested), k, scratch)
+    settled = settle(best, sets, None)
     more = cut(tested.join(settled.select(F.col("cid").alias("b")), "b", "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b"))
     if not more.isEmpty():
-        settled = settle(more, settled)
+        settled = settle(more, sets, settled)
     # what the earliest postings left open in larger groups
     if not leads.isEmpty():
-        x = large.join(settled, "cid", "left_anti").select("token", F.struct("f", "cid", "n", "pos", "lo", "hi").alias("x"))
+        x = large.join(settled, "cid", "left_anti").select("token", F.struct("f", "cid", "at", "lo", "hi").alias("x"))
         open_pairs = x.join(y, "token").filter((F.col("y.f") < F.col("x.f")) & _fits(ratio, "y", "x")).select(F.col("y.cid").alias("a"), F.col("x.cid").alias("b")).distinct()
         rest = cut(open_pairs.join(tested, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
-            settled = settle(rest, settled)
+            new = sets_of(own, classes, ends(rest).join(sets, "cid", "left_anti"), k, scratch)
+            settled = settle(rest, sets.unionByName(new), settled)
 
-    scratch.drop(grouped, large, leads, tested, best, more)
+    scratch.drop(grouped, large, leads, tested, best, more, sets)
     out = classes.join(settled.withColumn("hit", F.lit(True)), "cid", "left").filter("hit or size > 1")
     out = cut(out.select("cid", "hit", *[F.col(f"f.{c}").alias(f"f{c}") for c in _FIRST]))
     other = (F.col("doc") != F.col("fdoc")) | (F.col("mark") != F.col("fmark")) | (F.col("line") != F.col("fline"))
