@@ -55,6 +55,15 @@ class Scratch:
             if path:
                 _delete(self.spark, path)
 
+    def release(self) -> None:
+        """Have the shuffle files of finished jobs removed.
+
+        Spark's cleaner removes them once the driver's JVM has collected what refers to them,
+        which a driver with much free heap may put off for a long time. For use after large
+        shuffles, not in every round of a loop.
+        """
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def local_session(cores: str = "8", app: str = "skein", **conf: str) -> SparkSession:
     """A single-machine session with the settings that the tests and the bench use."""
