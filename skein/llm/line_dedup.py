@@ -134,7 +134,7 @@ def class_rows(records, ratio: Ratio, rarity):
 def near_pairs(ratio: Ratio, small: int):
     """The pairs of small token groups that pass the filters (kind 0), and the postings of larger groups (kind 1).
 
-    Batches come sorted by token and class; a group that reaches over batches is carried on.
+    Batches come sorted by token; a group that reaches over batches is carried on.
     """
     num, den = ratio.num, ratio.den
     names = ["kind", "a", "b", "at", "lo", "hi"]
@@ -163,6 +163,8 @@ def near_pairs(ratio: Ratio, small: int):
 
     def done(parts):
         token, cid, at, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((cid, token))
+        token, cid, at, lo, hi = (x[order] for x in (token, cid, at, lo, hi))
         new = np.ones(len(token), bool)  # tasks may have posted one class each
         new[1:] = (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])
         token, cid, at, lo, hi = (x[new] for x in (token, cid, at, lo, hi))
@@ -284,7 +286,8 @@ def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> Dat
     at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("p") + F.col("skip")).cast("long"))  # tokens of the set, position
     posts = posts.select("token", "cid", at.alias("at"), "lo", "hi")
     hot = F.shiftrightunsigned("token", 56) >= HOT
-    grouped = cut(posts.filter(~hot).repartition("token").sortWithinPartitions("token", "cid").mapInArrow(near_pairs(ratio, SMALL), "kind int, a long, b long, at long, lo long, hi long"))
+    grouped = cut(posts.filter(~hot).repartition("token").sortWithinPartitions("token").mapInArrow(near_pairs(ratio, SMALL), "kind int, a long, b long, at long, lo long, hi long"))
+    scratch.release()
     often = posts.filter(hot).groupBy("token", "cid").agg(*[F.first(c).alias(c) for c in ("at", "lo", "hi")])
     large = grouped.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cid"), "at", "lo", "hi").unionByName(often)
     large = cut(large.join(classes.select("cid", "f"), "cid"))
@@ -324,6 +327,7 @@ def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> Dat
             settled = settle(rest, sets.unionByName(new), settled)
 
     scratch.drop(grouped, large, leads, tested, best, more, sets)
+    scratch.release()
     out = classes.join(settled.withColumn("hit", F.lit(True)), "cid", "left").filter("hit or size > 1")
     out = cut(out.select("cid", "hit", *[F.col(f"f.{c}").alias(f"f{c}") for c in _FIRST]))
     other = (F.col("doc") != F.col("fdoc")) | (F.col("mark") != F.col("fmark")) | (F.col("line") != F.col("fline"))
