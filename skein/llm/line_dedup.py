@@ -28,15 +28,18 @@ from skein.runtime import Scratch
 
 SKETCH_BITS = 24
 #: Postings that are compared with one another directly.
-SMALL = 64
+SMALL = 256
 #: Tokens with an estimated log2 frequency from here on are grouped by partial aggregates alone.
 HOT = 10
 #: Pairs of one line that a task verifies together.
 CHUNK = 1024
+#: With no more candidate lines than this, their places (24 bytes each) are broadcast to the texts.
+PLACES = 1 << 18
 #: Bytes of sets that are compared at once, and postings that are grouped at once.
 COMPARED, GROUPED = 8 << 20, 1 << 17
 
 _ROWS = "kind int, doc long, mark long, line int, cid long, n int, skip int, lo long, hi long, prefix array<long>"
+_PAIRS = "kind int, a long, b long, at long, lo long, hi long"
 _ROWS_ARROW = pa.schema(
     [("kind", pa.int32()), ("doc", pa.int64()), ("mark", pa.int64()), ("line", pa.int32()), ("cid", pa.int64()), ("n", pa.int32()), ("skip", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("prefix", pa.list_(pa.int64()))]
 )
@@ -131,53 +134,60 @@ def class_rows(records, ratio: Ratio, rarity):
     return run
 
 
-def near_pairs(ratio: Ratio, small: int):
-    """The pairs of small token groups that pass the filters (kind 0), and the postings of larger groups (kind 1).
+def near_pairs(ratio: Ratio, small: int | None):
+    """The pairs of token groups that pass the filters (kind 0).
 
-    Batches come sorted by token; a group that reaches over batches is carried on.
+    With a limit, groups beyond it are not compared: their postings are handed on (kind 1).
+    Without one, all groups are compared, but only pairs that hold an open posting; the column
+    `open` tells them. Batches come sorted by token; a group that reaches over batches is
+    carried on.
     """
     num, den = ratio.num, ratio.den
     names = ["kind", "a", "b", "at", "lo", "hi"]
 
-    def pairs(token, cid, at, lo, hi):
+    def pairs(token, cid, at, lo, hi, *rest):
         n, pos = at >> 32, at & 0xFFFFFFFF
-        out_a, out_b = [], []
-        i = np.arange(len(token))
-        for d in range(1, small):
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        i, d = np.arange(len(token)), 0
+        while True:
+            d += 1
             i = i[i + d < len(token)]
             i = i[token[i] == token[i + d]]
+            # sizes ascend within a group: the smaller set is done once the larger ones are out of its reach
+            i = i[(n[i] - pos[i]) * (num + den) >= (n[i] + n[i + d]) * num]
             if not len(i):
                 break
-            j = i + d
-            both = n[i] + n[j]
-            ok = np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num
-            ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) * (num + den) >= both * num
-            x, y = i[ok], j[ok]
+            x, y = i, i + d
+            if rest:
+                asked = (rest[0][x] | rest[0][y]) > 0
+                x, y = x[asked], y[asked]
+            both = n[x] + n[y]
+            ok = (n[y] - pos[y]) * (num + den) >= both * num
+            x, y, both = x[ok], y[ok], both[ok]
             apart = np.bitwise_count((lo[x] ^ lo[y]).view(np.uint64)).astype(np.int64) + np.bitwise_count((hi[x] ^ hi[y]).view(np.uint64))
-            fits = (both[ok] - apart) // 2 * (num + den) >= both[ok] * num
+            fits = (both - apart) // 2 * (num + den) >= both * num
             out_a.append(cid[x[fits]])
             out_b.append(cid[y[fits]])
-        if out_a:
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
-            return np.minimum(a, b), np.maximum(a, b)
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        return np.minimum(a, b), np.maximum(a, b)
 
     def done(parts):
-        token, cid, at, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((cid, token))
-        token, cid, at, lo, hi = (x[order] for x in (token, cid, at, lo, hi))
-        new = np.ones(len(token), bool)  # tasks may have posted one class each
-        new[1:] = (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])
-        token, cid, at, lo, hi = (x[new] for x in (token, cid, at, lo, hi))
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.append(first, len(token)))
-        large, few = np.repeat(size > small, size), np.repeat((size > 1) & (size <= small), size)
-        found = pairs(*(x[few] for x in (token, cid, at, lo, hi)))
-        if found is not None and len(found[0]):
-            m = len(found[0])
-            none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), *map(pa.array, found), none, none, none], names=names)
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        order = np.lexsort((columns[1], columns[2] >> 32, columns[0]))  # by token and size
+        columns = [x[order] for x in columns]
+        new = np.ones(len(order), bool)  # tasks may have posted one class each
+        new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+        columns = [x[new] for x in columns]
+        first = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]]))
+        size = np.diff(np.append(first, len(columns[0])))
+        large = np.repeat(size > (len(size) + len(columns[0]) if small is None else small), size)
+        few = ~large & np.repeat(size > 1, size)
+        a, b = pairs(*(x[few] for x in columns))
+        if len(a):
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(a), pa.array(b), none, none, none], names=names)
         if large.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(large.sum()), np.int32)), *(pa.array(x[large]) for x in (token, cid, at, lo, hi))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(large.sum()), np.int32)), *(pa.array(x[large]) for x in columns[:5])], names=names)
 
     def run(batches):
         held: list[list[np.ndarray]] = []
@@ -239,6 +249,7 @@ def sets_of(own: DataFrame, classes: DataFrame, wanted: DataFrame, k: int, scrat
     records = line_records(k)
     where = classes.join(wanted, "cid").select("cid", "f.doc", "f.mark", "f.line")
     where = scratch.cut(where.groupBy("doc", "mark").agg(F.collect_list(F.struct("line", "cid")).alias("want")))
+    lines = where.agg(F.sum(F.size("want"))).first()[0] or 0
 
     def cut(batches):
         for batch in batches:
@@ -253,7 +264,7 @@ def sets_of(own: DataFrame, classes: DataFrame, wanted: DataFrame, k: int, scrat
                 if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["cid", "tokens"])
 
-    found = own.join(where, ["doc", "mark"]).select("doc", "text", "want").mapInArrow(cut, "cid long, tokens binary")
+    found = own.join(F.broadcast(where) if lines <= PLACES else where, ["doc", "mark"]).select("doc", "text", "want").mapInArrow(cut, "cid long, tokens binary")
     return scratch.cut(found.groupBy("cid").agg(F.first("tokens").alias("tokens")))  # rows may repeat
 
 
@@ -286,7 +297,7 @@ def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> Dat
     at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("p") + F.col("skip")).cast("long"))  # tokens of the set, position
     posts = posts.select("token", "cid", at.alias("at"), "lo", "hi")
     hot = F.shiftrightunsigned("token", 56) >= HOT
-    grouped = cut(posts.filter(~hot).repartition("token").sortWithinPartitions("token").mapInArrow(near_pairs(ratio, SMALL), "kind int, a long, b long, at long, lo long, hi long"))
+    grouped = cut(posts.filter(~hot).repartition("token").sortWithinPartitions("token").mapInArrow(near_pairs(ratio, SMALL), _PAIRS))
     scratch.release()
     often = posts.filter(hot).groupBy("token", "cid").agg(*[F.first(c).alias(c) for c in ("at", "lo", "hi")])
     large = grouped.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cid"), "at", "lo", "hi").unionByName(often)
@@ -311,6 +322,8 @@ def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> Dat
     # a line is compared with the candidate that shares most rare tokens first, with others only if that fails
     near = grouped.filter("kind = 0").select("a", "b").unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     tested = cut(ordered(near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))))
+    scratch.drop(grouped)
+    scratch.release()
     best = cut(tested.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select("m.a", "b"))
     sets = sets_of(own, classes, ends(tested), k, scratch)
     settled = settle(best, sets, None)
@@ -319,14 +332,20 @@ def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> Dat
         settled = settle(more, sets, settled)
     # what the earliest postings left open in larger groups
     if not leads.isEmpty():
-        x = large.join(settled, "cid", "left_anti").select("token", F.struct("f", "cid", "at", "lo", "hi").alias("x"))
-        open_pairs = x.join(y, "token").filter((F.col("y.f") < F.col("x.f")) & _fits(ratio, "y", "x")).select(F.col("y.cid").alias("a"), F.col("x.cid").alias("b")).distinct()
-        rest = cut(open_pairs.join(tested, ["a", "b"], "left_anti"))
+        is_open = F.when(F.col("hit").isNull(), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("open")
+        left = large.filter(~hot).select("token", "cid", "at", "lo", "hi").join(settled.withColumn("hit", F.lit(True)), "cid", "left").select("token", "cid", "at", "lo", "hi", is_open)
+        cold = left.repartition("token").sortWithinPartitions("token").mapInArrow(near_pairs(ratio, None), _PAIRS)
+        x = large.filter(hot).join(settled, "cid", "left_anti").select("token", F.struct("f", "cid", "at", "lo", "hi").alias("x"))
+        often = x.join(y.filter(hot), "token").filter((F.col("y.f") < F.col("x.f")) & _fits(ratio, "y", "x"))
+        rest = cold.select("a", "b").unionByName(often.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))).distinct()
+        rest = rest.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        rest = ordered(rest.withColumn("shared", F.lit(1))).join(settled.select(F.col("cid").alias("b")), "b", "left_anti")
+        rest = cut(rest.select("a", "b"))
         if not rest.isEmpty():
             new = sets_of(own, classes, ends(rest).join(sets, "cid", "left_anti"), k, scratch)
             settled = settle(rest, sets.unionByName(new), settled)
 
-    scratch.drop(grouped, large, leads, tested, best, more, sets)
+    scratch.drop(large, leads, tested, best, more, sets)
     scratch.release()
     out = classes.join(settled.withColumn("hit", F.lit(True)), "cid", "left").filter("hit or size > 1")
     out = cut(out.select("cid", "hit", *[F.col(f"f.{c}").alias(f"f{c}") for c in _FIRST]))
