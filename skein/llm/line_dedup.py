@@ -7,9 +7,9 @@ that occur once in the whole table (the sketch never counts too low) are not pos
 
 Postings carry a bitmap of their set: sets of n and m tokens whose bitmaps differ in d bits share
 at most (n + m - d) / 2 tokens. With the length and position filters this drops nearly all pairs
-where they arise; the rest is verified on the sets. Tokens of few postings compare all of them;
-for others each posting first meets the token's earliest one, which settles groups of near
-copies, and only lines that are still open meet the others.
+where they arise; the rest is verified on the sets. Where more pairs pass than a few for each
+posting, a token holds many near copies: there each posting first meets the token's earliest
+one, which settles nearly all, and only lines that are still open meet the others.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ from skein.llm.setjoin import NO_ID, Ratio, class_ids, tokens
 from skein.runtime import Scratch
 
 SKETCH_BITS = 24
-#: Postings that are compared with one another directly.
-SMALL = 256
-#: Tokens with an estimated log2 frequency from here on are grouped by partial aggregates alone.
-HOT = 10
+#: Pairs for each posting of a token beyond which its postings are compared by way of the earliest.
+DENSE = 16
+#: Tokens with an estimated log2 frequency from here on are grouped by partial aggregates alone;
+#: the groups of others fit a task and are compared in time.
+HOT = 14
 #: Pairs of one line that a task verifies together.
 CHUNK = 1024
 #: With no more candidate lines than this, their places (24 bytes each) are broadcast to the texts.
@@ -134,27 +135,29 @@ def class_rows(records, ratio: Ratio, rarity):
     return run
 
 
-def near_pairs(ratio: Ratio, small: int | None):
+def near_pairs(ratio: Ratio, dense: int | None):
     """The pairs of token groups that pass the filters (kind 0).
 
-    With a limit, groups beyond it are not compared: their postings are handed on (kind 1).
-    Without one, all groups are compared, but only pairs that hold an open posting; the column
-    `open` tells them. Batches come sorted by token; a group that reaches over batches is
-    carried on.
+    With a limit, groups that hold more pairs than that for each posting give none: their
+    postings are handed on (kind 1). Without one, only pairs that hold an open posting count;
+    the column `open` tells them. Batches come sorted by token; a group that reaches over
+    batches is carried on.
     """
     num, den = ratio.num, ratio.den
     names = ["kind", "a", "b", "at", "lo", "hi"]
 
-    def pairs(token, cid, at, lo, hi, *rest):
+    def pairs(group, most, at, lo, hi, *rest):
+        """(indices of either side, groups with more pairs than `most`)."""
         n, pos = at >> 32, at & 0xFFFFFFFF
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        i, d = np.arange(len(token)), 0
+        found, count = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], np.zeros(len(most), np.int64)
+        i, d = np.arange(len(group)), 0
         while True:
             d += 1
-            i = i[i + d < len(token)]
-            i = i[token[i] == token[i + d]]
+            i = i[i + d < len(group)]
+            i = i[group[i] == group[i + d]]
             # sizes ascend within a group: the smaller set is done once the larger ones are out of its reach
             i = i[(n[i] - pos[i]) * (num + den) >= (n[i] + n[i + d]) * num]
+            i = i[count[group[i]] <= most[group[i]]]
             if not len(i):
                 break
             x, y = i, i + d
@@ -166,10 +169,12 @@ def near_pairs(ratio: Ratio, small: int | None):
             x, y, both = x[ok], y[ok], both[ok]
             apart = np.bitwise_count((lo[x] ^ lo[y]).view(np.uint64)).astype(np.int64) + np.bitwise_count((hi[x] ^ hi[y]).view(np.uint64))
             fits = (both - apart) // 2 * (num + den) >= both * num
-            out_a.append(cid[x[fits]])
-            out_b.append(cid[y[fits]])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return np.minimum(a, b), np.maximum(a, b)
+            found.append((x[fits], y[fits]))
+            np.add.at(count, group[x[fits]], 1)
+        x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+        over = count > most
+        stay = ~over[group[x]]
+        return x[stay], y[stay], over
 
     def done(parts):
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
@@ -178,16 +183,19 @@ def near_pairs(ratio: Ratio, small: int | None):
         new = np.ones(len(order), bool)  # tasks may have posted one class each
         new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
         columns = [x[new] for x in columns]
-        first = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]]))
-        size = np.diff(np.append(first, len(columns[0])))
-        large = np.repeat(size > (len(size) + len(columns[0]) if small is None else small), size)
-        few = ~large & np.repeat(size > 1, size)
-        a, b = pairs(*(x[few] for x in columns))
-        if len(a):
+        token, cid = columns[:2]
+        first = np.concatenate([[True], token[1:] != token[:-1]])
+        group = np.cumsum(first) - 1
+        size = np.bincount(group)
+        most = size * dense if dense is not None else np.full(len(size), np.iinfo(np.int64).max)
+        x, y, over = pairs(group, most, *columns[2:])
+        if len(x):
+            a, b = cid[x], cid[y]
             none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(a), pa.array(b), none, none, none], names=names)
-        if large.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(large.sum()), np.int32)), *(pa.array(x[large]) for x in columns[:5])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none], names=names)
+        if over.any():
+            rows = over[group]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(rows.sum()), np.int32)), *(pa.array(z[rows]) for z in columns[:5])], names=names)
 
     def run(batches):
         held: list[list[np.ndarray]] = []
@@ -297,7 +305,7 @@ def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> Dat
     at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("p") + F.col("skip")).cast("long"))  # tokens of the set, position
     posts = posts.select("token", "cid", at.alias("at"), "lo", "hi")
     hot = F.shiftrightunsigned("token", 56) >= HOT
-    grouped = cut(posts.filter(~hot).repartition("token").sortWithinPartitions("token").mapInArrow(near_pairs(ratio, SMALL), _PAIRS))
+    grouped = cut(posts.filter(~hot).repartition("token").sortWithinPartitions("token").mapInArrow(near_pairs(ratio, DENSE), _PAIRS))
     scratch.release()
     often = posts.filter(hot).groupBy("token", "cid").agg(*[F.first(c).alias(c) for c in ("at", "lo", "hi")])
     large = grouped.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cid"), "at", "lo", "hi").unionByName(often)
@@ -330,7 +338,7 @@ def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> Dat
     more = cut(tested.join(settled.select(F.col("cid").alias("b")), "b", "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b"))
     if not more.isEmpty():
         settled = settle(more, sets, settled)
-    # what the earliest postings left open in larger groups
+    # what the earliest postings left open in dense groups
     if not leads.isEmpty():
         is_open = F.when(F.col("hit").isNull(), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("open")
         left = large.filter(~hot).select("token", "cid", "at", "lo", "hi").join(settled.withColumn("hit", F.lit(True)), "cid", "left").select("token", "cid", "at", "lo", "hi", is_open)

@@ -41,14 +41,14 @@ def corpus():
     return [*rows, (900, long), (901, long.replace("x7 ", "y7 "))]
 
 
-@pytest.mark.parametrize("small", [64, 2])
-def test_word_lines_against_brute_force(spark, monkeypatch, small):
+@pytest.mark.parametrize("dense", [16, 0])
+def test_word_lines_against_brute_force(spark, monkeypatch, dense):
     from skein.llm import line_dedup as ld
 
-    monkeypatch.setattr(ld, "SMALL", small)
+    monkeypatch.setattr(ld, "DENSE", dense)
     rows = corpus()
     want = brute(rows)
-    random.Random(small).shuffle(rows)
+    random.Random(dense).shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r for r in ld.dedup_lines(docs, k=1).collect()}
     assert {i: (r["text"], r["_n_removed"]) for i, r in got.items()} == want
@@ -67,7 +67,7 @@ def test_a_changed_word_in_a_line_of_forty(spark):
 def test_a_group_of_near_copies_and_hot_tokens(spark, monkeypatch):
     from skein.llm import line_dedup as ld
 
-    monkeypatch.setattr(ld, "SMALL", 4)
+    monkeypatch.setattr(ld, "DENSE", 2)
     monkeypatch.setattr(ld, "HOT", 3)
     base = [f"c{i}" for i in range(30)]
     rows = [(i, " ".join([*base, f"u{i}", f"v{i}"])) for i in range(300)] + [(300 + i, " ".join([*base[: i % 30], *(f"z{i}w{j}" for j in range(9))])) for i in range(60)]
