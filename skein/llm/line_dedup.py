@@ -139,8 +139,8 @@ def near_pairs(ratio: Ratio, dense: int | None):
     """The pairs of token groups that pass the filters (kind 0).
 
     With a limit, groups that hold more pairs than that for each posting give none: their
-    postings are handed on (kind 1). Without one, only pairs that hold an open posting count;
-    the column `open` tells them. Batches come sorted by token; a group that reaches over
+    postings are handed on (kind 1). Without one, only pairs count whose later posting is open,
+    as the columns `open` and `doc` tell. Batches come sorted by token; a group that reaches over
     batches is carried on.
     """
     num, den = ratio.num, ratio.den
@@ -162,7 +162,8 @@ def near_pairs(ratio: Ratio, dense: int | None):
                 break
             x, y = i, i + d
             if rest:
-                asked = (rest[0][x] | rest[0][y]) > 0
+                is_open, doc = rest
+                asked = ((is_open[x] > 0) & (doc[x] >= doc[y])) | ((is_open[y] > 0) & (doc[y] >= doc[x]))
                 x, y = x[asked], y[asked]
             both = n[x] + n[y]
             ok = (n[y] - pos[y]) * (num + den) >= both * num
@@ -341,7 +342,7 @@ def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> Dat
     # what the earliest postings left open in dense groups
     if not leads.isEmpty():
         is_open = F.when(F.col("hit").isNull(), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("open")
-        left = large.filter(~hot).select("token", "cid", "at", "lo", "hi").join(settled.withColumn("hit", F.lit(True)), "cid", "left").select("token", "cid", "at", "lo", "hi", is_open)
+        left = large.filter(~hot).join(settled.withColumn("hit", F.lit(True)), "cid", "left").select("token", "cid", "at", "lo", "hi", is_open, F.col("f.doc").alias("doc"))
         cold = left.repartition("token").sortWithinPartitions("token").mapInArrow(near_pairs(ratio, None), _PAIRS)
         x = large.filter(hot).join(settled, "cid", "left_anti").select("token", F.struct("f", "cid", "at", "lo", "hi").alias("x"))
         often = x.join(y.filter(hot), "token").filter((F.col("y.f") < F.col("x.f")) & _fits(ratio, "y", "x"))
