@@ -31,10 +31,26 @@ def bfs_path_counts(edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, in
         frontier = new
 
 
-def betweenness(edges: DataFrame, n: int, sources: DataFrame | None = None) -> DataFrame:
-    """(vertex, score): directed, unweighted, unnormalised and not halved; sources score nothing for themselves."""
+def betweenness(edges: DataFrame, n: int, sources: DataFrame | None = None, block: int = 64) -> DataFrame:
+    """(vertex, score): directed, unweighted, unnormalised and not halved; sources score nothing for themselves.
+
+    About `block` sources advance together, which bounds the state to block * n rows; the blocks'
+    scores are summed.
+    """
     spark, scratch = edges.sparkSession, Scratch(edges.sparkSession)
     sources = sources if sources is not None else spark.range(n).select(F.col("id").alias("source"))
+    sources = scratch.cut(sources)
+    blocks, total = -(-sources.count() // block), None
+    for b in range(blocks):
+        part = scratch.cut(_scores(edges, n, sources.filter(F.pmod(F.xxhash64("source"), F.lit(blocks)) == b)))
+        total = part if total is None else total.unionByName(part)
+    scores = total.groupBy("vertex").agg(F.sum("score").alias("score")) if total is not None else spark.createDataFrame([], "vertex long, score double")
+    return spark.range(n).select(F.col("id").alias("vertex")).join(scores, "vertex", "left").select("vertex", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def _scores(edges: DataFrame, n: int, sources: DataFrame) -> DataFrame:
+    """(vertex, score) of the vertices that the sources reach."""
+    scratch = Scratch(edges.sparkSession)
     seen, depth = bfs_path_counts(edges, sources.filter(F.col("source").between(0, n - 1)))
     links = scratch.cut(edges.filter(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("m")))
     done = scratch.cut(seen.filter(F.col("level") == depth).select("source", "vertex", "level", "sigma", F.lit(0.0).alias("delta")))
@@ -46,5 +62,4 @@ def betweenness(edges: DataFrame, n: int, sources: DataFrame | None = None) -> D
         here = here.join(gained, ["source", "vertex"], "left").select("source", "vertex", "level", "sigma", (F.col("sigma") * F.coalesce("g", F.lit(0.0))).alias("delta"))
         below = scratch.cut(here)
         done = scratch.cut(done.unionByName(below))
-    scores = done.filter(F.col("level") > 0).groupBy("vertex").agg(F.sum("delta").alias("score"))
-    return spark.range(n).select(F.col("id").alias("vertex")).join(scores, "vertex", "left").select("vertex", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return done.filter(F.col("level") > 0).groupBy("vertex").agg(F.sum("delta").alias("score"))

@@ -107,10 +107,26 @@ def generate_links(spark: SparkSession, sources: int, targets: int, seed: int =
     return out if self_loops else out.filter(F.col("src") != F.col("dst"))
 
 
-def generate_cyber(spark: SparkSession, servers: int, seed: int = 11) -> DataFrame:
-    """Eleven-column flows without self loops."""
-    base = generate_links(spark, servers, servers, seed, self_loops=False)
-    num = lambda k, m: F.pmod(draw(seed + k, F.col("src"), F.col("dst")), F.lit(m)).alias
+def generate_cyber(spark: SparkSession, servers: int, seed: int = 11, mean: float = 20.0, flows: DataFrame | None = None) -> DataFrame:
+    """Eleven-column flows without self loops; exponential out-degrees with that mean, nothing cut.
+
+    A target is drawn from the other servers, which is what drawing again until it differs from
+    the source amounts to. With `flows`, a table of the nine attributes, each link takes those of
+    a drawn row of it; otherwise they are drawn one by one.
+    """
+    degree = F.floor(-F.log(_unit(seed, F.lit(1).cast("long"), F.col("id"))) * mean + 0.5).cast("int")
+    rows = spark.range(servers).select(F.col("id").alias("src"), degree.alias("d")).filter("d > 0").select("src", F.explode(F.expr("sequence(1L, cast(d as bigint))")).alias("k"))
+    other = F.pmod(draw(seed + 1, F.col("src"), F.col("k")), F.lit(max(1, servers - 1)))
+    base = rows.select("src", "k", F.when(other >= F.col("src"), other + 1).otherwise(other).alias("dst")) if servers > 1 else rows.select("src", "k", F.col("src").alias("dst")).limit(0)
+    if flows is not None:
+        names = ["epoch_time", "duration", "protocol", "src_port", "dst_port", "src_packets", "dst_packets", "src_bytes", "dst_bytes"]
+        given = numbered(flows.select(*names), names, "_f")
+        n = given.count()
+        if not n:
+            raise ValueError("the table of flows is empty")
+        picked = base.withColumn("_f", F.pmod(draw(seed + 2, F.col("src"), F.col("k")), F.lit(n)))
+        return picked.join(given, "_f").select("src", "dst", *names)
+    num = lambda k, m: F.pmod(draw(seed + k + 2, F.col("src"), F.col("k")), F.lit(m)).alias
     names = ["duration", "protocol", "src_port", "dst_port", "src_packets", "dst_packets", "src_bytes", "dst_bytes"]
     sizes = [3600, 18, 65536, 65536, 1000, 1000, 100000, 100000]
     return base.select("src", "dst", num(1, 2592000)("epoch_time"), *[num(i + 2, m)(name) for i, (name, m) in enumerate(zip(names, sizes, strict=True))])

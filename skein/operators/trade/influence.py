@@ -82,15 +82,17 @@ def total_influence(sets: DataFrame) -> DataFrame:
     return frequency(sets).agg(F.coalesce(F.sum("frequency"), F.lit(0)).cast("long").alias("influence"))
 
 
-def greedy_influencers(sets: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def greedy_influencers(sets: DataFrame, k: int, every: int = 16) -> tuple[DataFrame, DataFrame]:
     """((pick, node, frequency), sets left uncovered): greedy coverage with k picks.
 
-    After a pick (but the last) its sets go. Frequencies are kept up by subtracting what the
-    removed sets held, so a round touches these sets and not the whole table. It ends early
-    when no node has a set left.
+    After a pick (but the last) its sets go: their ids join a table of covered sets, and the
+    frequencies are kept up by subtracting what they held. The table of sets is only read; it is
+    rewritten without the covered ones once in `every` picks. It ends early when no node has a
+    set left.
     """
     spark, scratch = sets.sparkSession, Scratch(sets.sparkSession)
     left = scratch.cut(sets.select("set_id", "node").distinct())
+    covered = None
     counts = scratch.cut(frequency(left))
     picks: list[tuple[int, int, int]] = []
     for i in range(k):
@@ -101,11 +103,18 @@ def greedy_influencers(sets: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         if i == k - 1:
             break
         gone = left.filter(F.col("node") == best[0]["node"]).select("set_id")
+        gone = scratch.cut(gone if covered is None else gone.join(covered, "set_id", "left_anti"))
         lost = left.join(gone, "set_id", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("lost"))
         new_counts = scratch.cut(counts.join(lost, "node", "left").select("node", (F.col("frequency") - F.coalesce("lost", F.lit(0))).cast("long").alias("frequency")))
-        new_left = scratch.cut(left.join(gone, "set_id", "left_anti"))
-        scratch.drop(counts, left)
-        counts, left = new_counts, new_left
+        scratch.drop(counts)
+        counts = new_counts
+        covered = gone if covered is None else covered.unionByName(gone)
+        if (i + 1) % every == 0:
+            new_left = scratch.cut(left.join(covered, "set_id", "left_anti"))
+            scratch.drop(left)
+            left, covered = new_left, None
+    if covered is not None:
+        left = left.join(covered, "set_id", "left_anti")
     return spark.createDataFrame(picks, "pick int, node long, frequency long"), left
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.ordered import numbered
 from skein.operators.trade import influence as inf
 from skein.operators.trade import network as net
 from skein.operators.trade import rebalance as qui
@@ -30,6 +31,11 @@ class WorkflowConfig:
             raise ValueError("k and rrr must be positive")
 
 
+def numbered_edges(edges: DataFrame) -> DataFrame:
+    """Edges with an edge_id of their own each, 0.. in adjacency order: equal parallel sales stay apart."""
+    return numbered(edges, [c for c in ("src", "dst", "type", "amount", "date") if c in edges.columns], "edge_id")
+
+
 def run_workflow(spark: SparkSession, source: InputFiles | tuple[DataFrame, DataFrame], cfg: WorkflowConfig | None = None) -> dict[str, DataFrame]:
     """import -> project -> probabilities -> reverse sets -> influencers -> cancel -> quiesce."""
     cfg = cfg or WorkflowConfig()
@@ -37,8 +43,7 @@ def run_workflow(spark: SparkSession, source: InputFiles | tuple[DataFrame, Data
     nodes, edges = import_graph(spark, source) if isinstance(source, InputFiles) else source
     stats = net.graph_statistics(nodes, edges, cfg.topic)
     if "edge_id" not in edges.columns:
-        parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("type", "src", "dst", "amount", "date")]
-        edges = edges.withColumn("edge_id", F.xxhash64(F.concat_ws("|", *parts)).bitwiseAND(F.lit((1 << 60) - 1)))
+        edges = numbered_edges(edges)
     trade = scratch.cut(net.project_edges(nodes, edges, cfg.topic))
     traders = scratch.cut(net.project_nodes(nodes, trade))
     values = scratch.cut(inf.node_values(traders, trade))

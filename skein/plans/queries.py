@@ -197,7 +197,15 @@ def _(spark, sf):
     return tools.vhost_load(g.event_edges(spark, sf), 16)
 
 
-@query("host_lpt")
+_LPT = (
+    f"WITH RECURSIVE {g.EVT}, loads AS (SELECT v, count(evt.src) AS load FROM (SELECT unnest(range(16)) AS v) LEFT JOIN evt ON evt.src % 16 = v GROUP BY v), "
+    "ranked AS MATERIALIZED (SELECT load, row_number() OVER (ORDER BY load DESC) AS i FROM loads), "
+    "fill(i, l) AS (SELECT 0::BIGINT, [0, 0, 0, 0]::BIGINT[] UNION ALL SELECT fill.i + 1, list_transform(l, lambda x, j: CASE WHEN j = list_position(l, list_min(l)) THEN x + load ELSE x END) FROM fill JOIN ranked ON ranked.i = fill.i + 1) "
+    "SELECT (generate_subscripts(l, 1) - 1)::INT AS host, unnest(l) AS load FROM fill WHERE i = 16"
+)
+
+
+@query("host_lpt", _LPT)
 def _(spark, sf):
     return tools.pack_hosts(tools.vhost_load(g.event_edges(spark, sf), 16), 4)
 
@@ -476,7 +484,7 @@ def _(spark, sf):
     return qui.state_violations(qui.quiesce(*_cancelled(spark, sf), rounds=1)[0])
 
 
-@query("workflow_influencers")
+@query("workflow_influencers", SQL["influencers_k3"])
 def _(spark, sf):
     from skein.operators.trade.workflow import WorkflowConfig, run_workflow
 

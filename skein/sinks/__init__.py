@@ -135,8 +135,21 @@ def write_results_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def traffic_stats(rounds: DataFrame) -> DataFrame:
-    """(step, line): the step report; even steps compute, odd steps communicate; 8 bytes a value."""
-    even = rounds.select((F.col("round") * 2).alias("step"), F.concat_ws("\n", F.concat(F.lit("BSP "), F.col("round") * 2), F.concat(F.lit("STR RD "), F.col("stream_read") * 8), F.concat(F.lit("RND RD "), F.col("random_read") * 8), F.concat(F.lit("RND WR "), F.col("random_write") * 8)).alias("line"))
-    odd = rounds.select((F.col("round") * 2 + 1).alias("step"), F.concat_ws("\n", F.concat(F.lit("BSP "), F.col("round") * 2 + 1), F.concat(F.lit("RND RMW "), F.col("remote") * 8)).alias("line"))
-    return even.unionByName(odd)
+def traffic_stats(traffic: DataFrame) -> DataFrame:
+    """(step, line): the step report of `read_traffic_logs` rows; 8 bytes a value.
+
+    Even steps compute: a `# h h` section for each host with stream reads, random reads and
+    random writes, as count and bytes. Odd steps communicate: a `# h p` section for each host
+    and peer. Zero counts have no line, sections without lines are left out.
+    """
+    total = lambda *k: F.sum(F.when(F.col("kind").isin(*k), F.col("n")).otherwise(0))
+    entry = lambda name, n: F.when(n > 0, F.concat(F.lit(f"\n{name} "), n, F.lit(" "), n * 8)).otherwise(F.lit(""))
+    own = traffic.groupBy("round", "host").agg(total("local_read").alias("s"), total("master_reads", "mirror_reads").alias("r"), total("master_writes", "mirror_writes").alias("w"))
+    own = own.select((F.col("round") * 2).alias("step"), "host", F.col("host").alias("peer"), F.concat(entry("STR RD", F.col("s")), entry("RND RD", F.col("r")), entry("RND WR", F.col("w"))).alias("t"))
+    sent = traffic.filter((F.col("kind") == "remote") & (F.col("peer") != F.col("host"))).groupBy("round", "host", "peer").agg(F.sum("n").alias("n"))
+    sent = sent.select((F.col("round") * 2 + 1).alias("step"), "host", "peer", entry("RND RMW", F.col("n")).alias("t"))
+    part = F.struct("host", "peer", F.concat(F.lit("\n# "), "host", F.lit(" "), "peer", "t").alias("t"))
+    parts = own.unionByName(sent).filter("t <> ''").groupBy("step").agg(F.sort_array(F.collect_list(part)).alias("p"))  # a part for each pair of hosts at most
+    steps = traffic.select("round").distinct().select(F.explode(F.array(F.col("round") * 2, F.col("round") * 2 + 1)).alias("step"))
+    body = F.array_join(F.transform(F.coalesce("p", F.array().cast("array<struct<host:int,peer:int,t:string>>")), lambda x: x["t"]), "")
+    return steps.join(parts, "step", "left").select("step", F.concat(F.lit("BSP "), "step", body).alias("line"))

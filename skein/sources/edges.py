@@ -54,7 +54,8 @@ def batch_count(spark: SparkSession, source: str | DataFrame, count_trailing_emp
 def read_edge_list(spark: SparkSession, path: str | list[str], sep: str = " ", comment: str = "#") -> DataFrame:
     """Delimited `src dst` lines (exactly two fields); other lines are dropped."""
     df = spark.read.csv(path, sep=sep, comment=comment, schema="src long, dst long, _bad string", columnNameOfCorruptRecord="_bad", mode="PERMISSIVE")
-    return df.filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst")
+    whole = F.col("_bad").isNull()  # holds the line if a field does not parse, or there are more or fewer
+    return df.filter(whole & F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst")
 
 
 def read_bel(spark: SparkSession, path: str, start: int = 0, end: int | None = None) -> DataFrame:

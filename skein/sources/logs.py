@@ -2,58 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 METRICS = ["duration_ns", "max_rss", "cache_misses", "cache_references", "instructions", "minor_faults", "major_faults"]
+# What the lines of a report begin with, and the stages' names in its headers.
+LABELS = {"Duration": "duration_ns", "Max RSS": "max_rss", "Cache Misses": "cache_misses", "Cache References": "cache_references", "Instructions": "instructions", "Minor Page Faults": "minor_faults", "Major Page Faults": "major_faults"}
+STAGES = {"Ingestion": "ingest", "Post-ingest": "post-ingest", "Algorithm": "algorithm"}
+
+
+def _lines(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """(file, seq, line) in the order of the files."""
+    if not isinstance(source, DataFrame):
+        return spark.read.text(source).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
+    return source if "seq" in source.columns else source.withColumn("seq", F.monotonically_increasing_id())
+
+
+def _found(pattern: str, group: int = 1) -> Column:
+    """A group of a pattern in the line, null where it does not match."""
+    return F.nullif(F.regexp_extract("line", pattern, group), F.lit(""))
 
 
 def read_bench_logs(spark: SparkSession, source: str | DataFrame) -> DataFrame:
-    """One row per batch and stage: dataset, algo, graph, threads, batch, stage and the metrics.
+    """One row per file, batch and stage: dataset, algo, graph, threads, batch, stage and the metrics.
 
-    `source` is a path or a DataFrame (file, line). Run settings come from `key=value` parts of
-    the file name, batches from `after batch n` headers, metrics from `name: number` lines.
+    A header `Benchmark results for <stage> for Batch <n>:` opens a section (words between the
+    stage and the batch are passed over); `<label>: <number> [unit]` lines belong to the last
+    header above them. Run settings come from `d=`, `a=`, `g=`, `t=` parts of the file name.
+    `source` is a path or a DataFrame (file, line), with `seq` if its order is known.
     """
-    if not isinstance(source, DataFrame):
-        source = spark.read.text(source).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
-    if "seq" not in source.columns:
-        source = source.withColumn("seq", F.monotonically_increasing_id())
+    rows = _lines(spark, source)
+    header = r"Benchmark results for (\S+).* for Batch (\d+):"
     w = W.partitionBy("file").orderBy("seq")
-    key = lambda k: F.regexp_extract("file", rf"(?:^|[/_,]){k}=([^/_,.]+)", 1)
-    rows = source.select("file", "seq", "line").withColumns(
-        {
-            "batch": F.last(F.expr(r"try_cast(nullif(regexp_extract(line, 'batch[ :=]+(\\d+)', 1), '') as int)"), True).over(w),
-            "stage": F.last(F.expr(r"nullif(regexp_extract(line, '^[ =]*(ingest|post-ingest|algorithm)\\b', 1), '')"), True).over(w),
-            "metric": F.lower(F.regexp_replace(F.regexp_extract("line", r"^\s*([A-Za-z][A-Za-z ()_-]*?)\s*[:=]\s*\d+", 1), r"[^A-Za-z]+", "_")),
-            "value": F.expr(r"try_cast(nullif(regexp_extract(line, '[:=]\\s*(\\d+)', 1), '') as bigint)"),
-        }
-    )
-    named = rows.filter(F.col("metric").isin(METRICS) & F.col("value").isNotNull())
+    label, stage = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for text, name in LABELS.items():
+        label = F.when(F.col("line").rlike(rf"^\s*{text}: *\d"), F.lit(name)).otherwise(label)
+    for text, name in STAGES.items():
+        stage = F.when(F.lower(_found(header)) == text.lower(), F.lit(name)).otherwise(stage)
+    marked = rows.withColumns({"_b": _found(header, 2).cast("int"), "_s": F.coalesce(stage, F.lower(_found(header))), "metric": label, "value": _found(r": *(\d+)").try_cast("long")})
+    marked = marked.withColumns({"batch": F.last("_b", True).over(w), "stage": F.last("_s", True).over(w)})
+    named = marked.filter(F.col("metric").isNotNull() & F.col("batch").isNotNull())
     out = named.groupBy("file", "batch", "stage").pivot("metric", METRICS).agg(F.max("value"))
-    return out.select(key("d").alias("dataset"), key("a").alias("algo"), key("g").alias("graph"), F.expr("try_cast(nullif(regexp_extract(file, '(?:^|[/_,])t=(\\\\d+)', 1), '') as int)").alias("threads"), "batch", "stage", *METRICS)
+    key = lambda k: F.nullif(F.regexp_extract("file", rf"(?:^|[/_,]){k}=([^/_,.]+)", 1), F.lit(""))
+    return out.select(key("d").alias("dataset"), key("a").alias("algo"), key("g").alias("graph"), key("t").try_cast("int").alias("threads"), "batch", "stage", *METRICS)
+
+
+# What the counter lines of a host's log begin with.
+COUNTERS = {"local_read": "local read (stream)", "master_reads": "master reads", "master_writes": "master writes", "mirror_reads": "mirror reads", "mirror_writes": "mirror writes"}
 
 
 def read_traffic_logs(spark: SparkSession, source: str | DataFrame) -> DataFrame:
-    """Communication counters for each host and round.
+    """(file, host, round, kind, peer, n): communication counters for each host and round.
 
-    Lines: `##### Round`, `local read (stream): n`, `master reads: n`, `master writes: n`,
-    `mirror reads: n`, `mirror writes: n`, `remote communication for h: n`.
+    `#####   Round r` (any number of blanks) opens a round; counters above the first belong to
+    none and are left out. A host's number is the last number in its file's name. Counter lines
+    hold their number behind the last colon: `local read (stream): n`, `master reads: n`, `master writes: n`,
+    `mirror reads: n`, `mirror writes: n`, and for each peer `remote communication for h: n`.
     """
-    if not isinstance(source, DataFrame):
-        source = spark.read.text(source).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
-    if "seq" not in source.columns:
-        source = source.withColumn("seq", F.monotonically_increasing_id())
+    rows = _lines(spark, source)
     w = W.partitionBy("file").orderBy("seq")
-    number = F.expr(r"try_cast(nullif(regexp_extract(line, ':\\s*(\\d+)\\s*$', 1), '') as bigint)")
-    kinds = {"local_read": r"local read", "master_reads": r"master reads", "master_writes": r"master writes", "mirror_reads": r"mirror reads", "mirror_writes": r"mirror writes", "remote": r"remote communication for"}
-    kind = F.lit(None).cast("string")
-    for name, pattern in kinds.items():
-        kind = F.when(F.col("line").rlike(pattern), F.lit(name)).otherwise(kind)
-    rows = source.withColumns({"round": F.sum(F.col("line").startswith("##### Round").cast("int")).over(w), "kind": kind, "n": number})
-    peer = F.expr(r"try_cast(nullif(regexp_extract(line, 'communication for (?:host )?(\\d+)', 1), '') as int)")
-    found = rows.filter(F.col("kind").isNotNull() & F.col("n").isNotNull()).withColumn("peer", F.when(F.col("kind") == "remote", peer))
-    return found.select("file", F.col("round").cast("int").alias("round"), "kind", "peer", "n")
+    peer = _found(r"remote communication for (?:host )?(\d+)").try_cast("int")
+    kind = F.when(peer.isNotNull(), F.lit("remote"))
+    for name, text in COUNTERS.items():
+        kind = kind.when(F.contains(F.col("line"), F.lit(text)), F.lit(name))
+    n = _found(r".*:\s*(\d+)").try_cast("long")
+    opens = F.col("line").rlike(r"#####\s+Round").cast("int")
+    host = F.nullif(F.regexp_extract("file", r"(\d+)[^\d/]*$", 1), F.lit("")).try_cast("int")
+    rows = rows.select("file", host.alias("host"), (F.sum(opens).over(w) - 1).cast("int").alias("round"), kind.alias("kind"), peer.alias("peer"), n.alias("n"))
+    return rows.filter(F.col("kind").isNotNull() & F.col("n").isNotNull() & (F.col("round") >= 0))
 
 
 def traffic_rounds(traffic: DataFrame) -> DataFrame:
