@@ -299,25 +299,36 @@ def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> Dat
 
     rarity = own.sparkSession.sparkContext.broadcast(S.build(own, hashes, SKETCH_BITS))
     rows = cut(own.mapInArrow(class_rows(records, ratio, rarity), _ROWS))
-    firsts = rows.filter("kind = 1").groupBy("cid").agg(F.min(F.struct(*_FIRST)).alias("f"), F.sum("n").alias("size"))
-    classes = cut(firsts.select("cid", "f", "size"))
+    # a class has one row of each task by now: partial aggregates would sort for nothing
+    firsts = rows.filter("kind = 1").select("cid", *_FIRST, "n").repartition("cid")
+    classes = cut(firsts.groupBy("cid").agg(F.min(F.struct(*_FIRST)).alias("f"), F.sum("n").alias("size")))
 
-    posts = rows.filter("kind = 0 and size(prefix) > 0").select("cid", "n", "skip", "lo", "hi", F.posexplode("prefix").alias("p", "token"))
     at = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("p") + F.col("skip")).cast("long"))  # tokens of the set, position
-    posts = posts.select("token", "cid", at.alias("at"), "lo", "hi")
+
+    def posts(of: DataFrame) -> DataFrame:
+        posted = of.select("cid", "n", "skip", "lo", "hi", F.posexplode("prefix").alias("p", "token"))
+        return posted.select("token", "cid", at.alias("at"), "lo", "hi")
+
+    new = rows.filter("kind = 0 and size(prefix) > 0")
     hot = F.shiftrightunsigned("token", 56) >= HOT
-    grouped = cut(posts.filter(~hot).repartition("token").sortWithinPartitions("token").mapInArrow(near_pairs(ratio, DENSE), _PAIRS))
+    grouped = cut(posts(new).filter(~hot).repartition("token").sortWithinPartitions("token").mapInArrow(near_pairs(ratio, DENSE), _PAIRS))
     scratch.release()
-    often = posts.filter(hot).groupBy("token", "cid").agg(*[F.first(c).alias(c) for c in ("at", "lo", "hi")])
-    large = grouped.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cid"), "at", "lo", "hi").unionByName(often)
-    large = cut(large.join(classes.select("cid", "f"), "cid"))
+    # prefixes ascend by frequency: the last token tells whether any is hot
+    often = posts(new.filter(F.shiftrightunsigned(F.element_at("prefix", -1), 56) >= HOT)).filter(hot)
+    often = often.groupBy("token", "cid").agg(*[F.first(c).alias(c) for c in ("at", "lo", "hi")])
+    dealt = cut(grouped.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cid"), "at", "lo", "hi").unionByName(often))
+    # all that follows asks for the classes of these postings and pairs alone
+    asked = grouped.filter("kind = 0").select(F.explode(F.array("a", "b")).alias("cid")).unionByName(dealt.select("cid")).distinct()
+    known = cut(classes.select("cid", "f").join(asked, "cid", "left_semi"))
+    large = cut(dealt.join(known, "cid"))
+    scratch.drop(dealt)
     lead = F.min(F.struct("f", "cid", "at", "lo", "hi")).alias("x")
     leads = cut(large.groupBy("token").agg(lead, F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
     y = large.select("token", F.struct("f", "cid", "at", "lo", "hi").alias("y"))
     stars = y.join(leads, "token").filter((F.col("x.cid") != F.col("y.cid")) & _fits(ratio, "x", "y")).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
 
     def ordered(pairs: DataFrame) -> DataFrame:
-        a, b = (classes.select(F.col("cid").alias(c), F.col("f").alias(f"f{c}")) for c in "ab")
+        a, b = (known.select(F.col("cid").alias(c), F.col("f").alias(f"f{c}")) for c in "ab")
         first = F.col("fa") < F.col("fb")
         return pairs.join(a, "a").join(b, "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), "shared")
 
@@ -334,7 +345,7 @@ def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> Dat
     scratch.drop(grouped)
     scratch.release()
     best = cut(tested.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select("m.a", "b"))
-    sets = sets_of(own, classes, ends(tested), k, scratch)
+    sets = sets_of(own, known, ends(tested), k, scratch)
     settled = settle(best, sets, None)
     more = cut(tested.join(settled.select(F.col("cid").alias("b")), "b", "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b"))
     if not more.isEmpty():
@@ -351,13 +362,15 @@ def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> Dat
         rest = ordered(rest.withColumn("shared", F.lit(1))).join(settled.select(F.col("cid").alias("b")), "b", "left_anti")
         rest = cut(rest.select("a", "b"))
         if not rest.isEmpty():
-            new = sets_of(own, classes, ends(rest).join(sets, "cid", "left_anti"), k, scratch)
-            settled = settle(rest, sets.unionByName(new), settled)
+            further = sets_of(own, known, ends(rest).join(sets, "cid", "left_anti"), k, scratch)
+            settled = settle(rest, sets.unionByName(further), settled)
 
-    scratch.drop(large, leads, tested, best, more, sets)
+    scratch.drop(large, leads, tested, best, more, sets, known)
     scratch.release()
-    out = classes.join(settled.withColumn("hit", F.lit(True)), "cid", "left").filter("hit or size > 1")
-    out = cut(out.select("cid", "hit", *[F.col(f"f.{c}").alias(f"f{c}") for c in _FIRST]))
+    # all lines of a settled class go, of other classes all but the first; a class may be in both parts
+    first = [F.col(f"f.{c}").alias(f"f{c}") for c in _FIRST]
+    copies = classes.filter("size > 1").select("cid", F.lit(False).alias("hit"), *first)
+    out = cut(copies.unionByName(settled.withColumn("hit", F.lit(True)), allowMissingColumns=True))
     other = (F.col("doc") != F.col("fdoc")) | (F.col("mark") != F.col("fmark")) | (F.col("line") != F.col("fline"))
     gone = rows.filter("kind = 0").select("cid", *_FIRST).join(out, "cid").filter(F.col("hit") | other)
     return cut(gone.groupBy("doc", "mark").agg(F.collect_set("line").alias("gone")))
