@@ -7,7 +7,8 @@ read off one prefix sum per block; a shingle combines its words' hashes linearly
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,23 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 20
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, after which the worker gives freed memory back to the system.
+
+    Workers serve one task after the other; what their allocators keep of a large one would
+    count against the executor for as long as they live.
+    """
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 def free_name(base: str, *frames: DataFrame) -> str:
     """`base`, with underscores behind it until no column is called so (letter case aside)."""
     taken = {c.lower() for df in frames for c in df.columns}

@@ -273,7 +273,7 @@ def sets_of(own: DataFrame, classes: DataFrame, wanted: DataFrame, k: int, scrat
                 if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["cid", "tokens"])
 
-    found = own.join(F.broadcast(where) if lines <= PLACES else where, ["doc", "mark"]).select("doc", "text", "want").mapInArrow(cut, "cid long, tokens binary")
+    found = own.join(F.broadcast(where) if lines <= PLACES else where, ["doc", "mark"]).select("doc", "text", "want").mapInArrow(B.trimmed(cut), "cid long, tokens binary")
     return scratch.cut(found.groupBy("cid").agg(F.first("tokens").alias("tokens")))  # rows may repeat
 
 
@@ -283,7 +283,7 @@ def verified(pairs: DataFrame, sets: DataFrame, ratio: Ratio, scratch: Scratch)
     right = pairs.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b").join(parts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
     left = parts.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
     both = right.select("a", "b", "salt", "y").join(left, ["a", "salt"]).select("a", "b", "x", "y")
-    return both.mapInArrow(agree(ratio), "a long, b long")
+    return both.mapInArrow(B.trimmed(agree(ratio)), "a long, b long")
 
 
 def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> DataFrame:
@@ -298,7 +298,7 @@ def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> Dat
             yield h
 
     rarity = own.sparkSession.sparkContext.broadcast(S.build(own, hashes, SKETCH_BITS))
-    rows = cut(own.mapInArrow(class_rows(records, ratio, rarity), _ROWS))
+    rows = cut(own.mapInArrow(B.trimmed(class_rows(records, ratio, rarity)), _ROWS))
     # a class has one row of each task by now: partial aggregates would sort for nothing
     firsts = rows.filter("kind = 1").select("cid", *_FIRST, "n").repartition("cid")
     classes = cut(firsts.groupBy("cid").agg(F.min(F.struct(*_FIRST)).alias("f"), F.sum("n").alias("size")))
@@ -311,7 +311,7 @@ def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> Dat
 
     new = rows.filter("kind = 0 and size(prefix) > 0")
     hot = F.shiftrightunsigned("token", 56) >= HOT
-    grouped = cut(posts(new).filter(~hot).repartition("token").sortWithinPartitions("token").mapInArrow(near_pairs(ratio, DENSE), _PAIRS))
+    grouped = cut(posts(new).filter(~hot).repartition("token").sortWithinPartitions("token").mapInArrow(B.trimmed(near_pairs(ratio, DENSE)), _PAIRS))
     scratch.release()
     # prefixes ascend by frequency: the last token tells whether any is hot
     often = posts(new.filter(F.shiftrightunsigned(F.element_at("prefix", -1), 56) >= HOT)).filter(hot)
@@ -354,7 +354,7 @@ def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> Dat
     if not leads.isEmpty():
         is_open = F.when(F.col("hit").isNull(), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("open")
         left = large.filter(~hot).join(settled.withColumn("hit", F.lit(True)), "cid", "left").select("token", "cid", "at", "lo", "hi", is_open, F.col("f.doc").alias("doc"))
-        cold = left.repartition("token").sortWithinPartitions("token").mapInArrow(near_pairs(ratio, None), _PAIRS)
+        cold = left.repartition("token").sortWithinPartitions("token").mapInArrow(B.trimmed(near_pairs(ratio, None)), _PAIRS)
         x = large.filter(hot).join(settled, "cid", "left_anti").select("token", F.struct("f", "cid", "at", "lo", "hi").alias("x"))
         often = x.join(y.filter(hot), "token").filter((F.col("y.f") < F.col("x.f")) & _fits(ratio, "y", "x"))
         rest = cold.select("a", "b").unionByName(often.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))).distinct()

@@ -122,7 +122,7 @@ class SetJoin:
                     prefix = pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(line.astype(np.int32)), pa.array(cid), pa.array(n.astype(np.int32)), prefix], schema=_POSTED)
 
-        rows = cut(self.docs.mapInArrow(post, "doc long, line int, cid long, n int, prefix array<long>"))
+        rows = cut(self.docs.mapInArrow(B.trimmed(post), "doc long, line int, cid long, n int, prefix array<long>"))
         self.members = rows.select("doc", "line", "cid", "n")
         first = F.min(F.struct("doc", "line")).alias("f")
         self.classes = cut(rows.filter("n > 0").groupBy("cid", "n").agg(first, F.count(F.lit(1)).alias("size")).select("cid", "n", "f.doc", "f.line", "size"))
@@ -176,7 +176,7 @@ class SetJoin:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["cid", "tokens"])
 
         # rows that repeat an id may yield a class twice: the trees take one of them
-        sets = cut(self.docs.join(where, "doc").select("doc", "text", "want").mapInArrow(sets_of, "cid long, tokens binary"))
+        sets = cut(self.docs.join(where, "doc").select("doc", "text", "want").mapInArrow(B.trimmed(sets_of), "cid long, tokens binary"))
         trees = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(1) / {TREE}) as int)").alias("k"))
         trees = cut(trees)
         right = pairs.join(trees, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
@@ -203,7 +203,7 @@ class SetJoin:
                         held[b] = t
             yield from done()
 
-        return cut(rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(walk, "a long, b long"))
+        return cut(rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(B.trimmed(walk), "a long, b long"))
 
     def rest_candidates(self, known: DataFrame, tested: DataFrame, either: bool) -> DataFrame:
         """(a, b), a < b: what the stars left open, from the postings of tokens that hold an open class.

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.blocks import trimmed
+
 SLICES = 64
 #: Parts of a slice that one task merges.
 FAN = 64
@@ -112,11 +114,11 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([data.tobytes()], pa.binary())], schema=_MERGED)
 
     n = df.rdd.getNumPartitions()  # of the plan; nothing runs
-    parts = df.mapInArrow(count, _PARTS)
+    parts = df.mapInArrow(trimmed(count), _PARTS)
     while n > FAN:
         n = -(-n // FAN)
         parts = parts.withColumn("part", F.expr(f"part div {FAN}").cast("int")).repartition(SLICES * n, "slice", "part").sortWithinPartitions("slice", "part").mapInArrow(some, _PARTS)
-    merged = parts.withColumn("part", F.lit(0)).repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(whole, "slice int, data binary")
+    merged = parts.withColumn("part", F.lit(0)).repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(trimmed(whole), "slice int, data binary")
     size = width // 8 if repeated else width
     out = np.zeros((rows * SLICES, size), np.uint8)
     for row in merged.collect():  # rows * SLICES rows of a fixed size; an iterator would run a job per partition

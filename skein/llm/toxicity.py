@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         model = ftrl(found, y, np.where(y == 1, share[1], share[0]) / scale)
         yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.features], pa.list_(pa.int64())), pa.array([model.weights], pa.list_(pa.float64()))], names=["bias", "features", "weights"])
 
-    out = sample.repartition(1).sortWithinPartitions("i").mapInArrow(learn, "bias double, features array<long>, weights array<double>").collect()  # one row
+    out = sample.repartition(1).sortWithinPartitions("i").mapInArrow(B.trimmed(learn), "bias double, features array<long>, weights array<double>").collect()  # one row
     if not out:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
     return Model(np.array(out[0]["features"], np.int64), np.array(out[0]["weights"]), out[0]["bias"])
