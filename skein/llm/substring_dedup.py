@@ -68,7 +68,7 @@ def removed_windows(docs: DataFrame, window: int, gram: int, scratch: Scratch) -
     anchored = size // 6 * 2 // (window - gram + 2)  # words, and the share of grams that are least in some window
     merged = S.build(docs, counted, min(max((8 * anchored).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1]), SKETCH_ROWS, repeated=True)
     shared = docs.sparkSession.sparkContext.broadcast(merged)
-    names = ["h", "tail", "doc", "mark", "starts"]
+    names = ["h", "tail", "doc", "mark", "at", "starts"]
 
     def suspects(batches):
         """Per task one row for each suspected window, in its smallest document; the others are settled here."""
@@ -100,12 +100,17 @@ def removed_windows(docs: DataFrame, window: int, gram: int, scratch: Scratch) -
             k = np.ones(len(own), bool)
             k[1:] = new[own][1:] | (mark[own][1:] != mark[own][:-1])
             begin = np.flatnonzero(k)
-            off = np.append(begin, len(own)).astype(np.int32)
+            n = np.diff(np.append(begin, len(own)))
+            # by document: neighbours share id and mark, which compress; only further starts need a list
+            by_doc = np.lexsort((at[own[begin]], mark[own[begin]], doc[own[begin]]))
+            begin, n = begin[by_doc], n[by_doc]
             take = own[begin]
             for i in range(0, len(take), 1 << 16):
-                j = min(i + (1 << 16), len(take))
-                starts = pa.ListArray.from_arrays(pa.array(off[i : j + 1] - off[i]), pa.array(at[own[off[i] : off[j]]]))
-                yield pa.RecordBatch.from_arrays([pa.array(h[take[i:j]]), pa.array(tail[take[i:j]]), pa.array(doc[take[i:j]]), pa.array(mark[take[i:j]]), starts], names=names)
+                x, more = take[i : i + (1 << 16)], n[i : i + (1 << 16)] - 1
+                off = np.concatenate([[0], np.cumsum(more)])
+                rest = np.repeat(begin[i : i + (1 << 16)] + 1 - off[:-1], more) + np.arange(off[-1])
+                starts = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(at[own[rest]]), mask=pa.array(more == 0))
+                yield pa.RecordBatch.from_arrays([pa.array(h[x]), pa.array(tail[x]), pa.array(doc[x]), pa.array(mark[x]), pa.array(at[x]), starts], names=names)
         gone = np.flatnonzero(settled)
         if len(gone):
             gone = gone[np.lexsort((at[gone], mark[gone], doc[gone]))]
@@ -115,13 +120,17 @@ def removed_windows(docs: DataFrame, window: int, gram: int, scratch: Scratch) -
             off = np.append(begin, len(gone)).astype(np.int32)
             starts = pa.ListArray.from_arrays(pa.array(off), pa.array(at[gone]))
             first = gone[begin]
-            yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.nulls(len(first), pa.int64()), pa.array(doc[first]), pa.array(mark[first]), starts], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.nulls(len(first), pa.int64()), pa.array(doc[first]), pa.array(mark[first]), pa.nulls(len(first), pa.int32()), starts], names=names)
 
-    rows = docs.mapInArrow(suspects, "h long, tail long, doc long, mark long, starts array<int>")
-    # tail is null in rows that a task has settled; they only travel along
-    least = F.min("doc").over(W.partitionBy("h", "tail"))
-    found = rows.withColumn("_least", least).filter(F.col("tail").isNull() | (F.col("doc") > F.col("_least")))
-    return scratch.cut(found.groupBy("doc", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts")))
+    rows = docs.mapInArrow(suspects, "h long, tail long, doc long, mark long, at int, starts array<int>")
+    # shuffled as few bytes: tail (31 bits) and first start as one word
+    rows = rows.select("h", F.shiftleft("tail", 32).bitwiseOR(F.col("at").cast("long")).alias("place"), "doc", "mark", "starts")
+    tail, at = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    # place is null in rows that a task has settled; they only travel along
+    least = F.min("doc").over(W.partitionBy("h", tail))
+    found = rows.withColumn("_least", least).filter(F.col("place").isNull() | (F.col("doc") > F.col("_least")))
+    starts = F.when(F.col("place").isNull(), F.col("starts")).otherwise(F.concat(F.array(at), F.coalesce("starts", F.array().cast("array<int>"))))
+    return scratch.cut(found.select("doc", "mark", starts.alias("starts")).groupBy("doc", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 6) -> DataFrame:
@@ -137,6 +146,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession)
     own = prepared(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     gone = removed_windows(own, window, gram, scratch)
+    scratch.release()  # before the texts are shuffled: the windows' shuffle is the largest
 
     @F.pandas_udf("text string, n_words long, n_removed long")
     def keep(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
