@@ -1,8 +1,8 @@
 """Benchmark decontamination (operator 9), in DataFrame functions alone.
 
-Item-sized windows that share a shingle with the benchmark, each compared by the weighted cosine
-of the shingle sets with every item that it can reach. SimHash fingerprints give the distance
-that is reported; no pair is left out for it.
+Every item-sized window, at every position, that shares enough with an item to reach the
+similarity is compared with it by the weighted cosine of the shingle sets. SimHash fingerprints
+give the distance that is reported; no pair is left out for it.
 """
 
 from __future__ import annotations
@@ -68,9 +68,10 @@ def find_leaks(
     null and empty texts and items match nothing; a document shorter than an item is compared as
     a whole. Rows that repeat are reported once, ids may be null, an empty table gives none.
 
-    Windows without any shingle of the benchmark have similarity 0 to all items, so only windows
-    that such a shingle sets in place are fingerprinted. Nothing is broadcast but tables whose
-    size has been counted.
+    All positions of a document are windows. What a window shares with an item changes only where
+    a shared shingle enters or leaves, so a running sum over those places gives it for every
+    position; below similarity^2 of the item's norm no window can reach the similarity, all others
+    are cut from the text and compared. Nothing is broadcast but tables whose size has been counted.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     bench = items.select(F.col(item_col).alias("item"), words_of(F.col(item_text_col)).alias("w")).filter(F.size("w") > 0).withColumn("m", F.size("w")).withColumn("k", F.least("m", F.lit(k)))
@@ -91,57 +92,82 @@ def find_leaks(
     small = n_sets <= MAX_BROADCAST
     hint = F.broadcast if small else (lambda x: x)
 
-    # 1. windows: a shingle at position p of a document and at offset o of an item sets one at p - o
-    places = hint(sets.select("h", "m", "at").distinct())
+    square = F.col("weight") * F.col("weight")
+    items_of = scratch.cut(sets.select("item", "m", "h").distinct().join(hint(weights), "h").withColumn("square", square))
+    item_norm = scratch.cut(items_of.groupBy("item", "m").agg(F.sum("square").alias("item_norm")))
+    least = max(0.0, similarity - 1e-9) ** 2  # the part of an item's norm that a window has to share
+
+    # 1. places of the benchmark's shingles in documents
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    keyed = keyed.withColumn("key", F.xxhash64(F.col("doc").isNull(), "doc", "text"))
     found = None
     for n in kinds:
-        own = docs.select(F.col(id_col).cast("long").alias("doc"), shingle_hashes(words_of(F.col(text_col)), n).alias("hashes"))
-        here = places.filter(F.least("m", F.lit(k)) == n)
-        last = F.greatest(F.lit(1), F.size("hashes") - (F.col("m") - n))
-        start = F.least(F.greatest(F.col("p") - F.col("at"), F.lit(0)), last - 1)
-        if small:
-            seeds = own.select("doc", "hashes", F.posexplode("hashes").alias("p", "h")).join(here, "h")
-        else:  # only positions are shuffled; the windows are cut from the documents afterwards
-            own = own.withColumn("key", F.xxhash64(F.col("doc").isNull(), "doc", "hashes"))
-            near = own.select("key", F.posexplode("hashes").alias("p", "h")).join(here, "h")
-            seeds = own.join(near.select("key", "m", "at", "p").distinct(), "key")
-        part = seeds.select("doc", "m", F.lit(n).alias("k"), start.alias("start"), F.slice("hashes", start + 1, F.col("m") - n + 1).alias("win"))
+        own = keyed.select("key", shingle_hashes(words_of(F.col("text")), n).alias("hashes"))
+        here = hint(sets.filter(F.col("k") == n).select("h").distinct())
+        part = own.select("key", F.size("hashes").alias("size"), F.posexplode("hashes").alias("p", "h")).join(here, "h").select("key", F.lit(n).alias("k"), "size", "p", "h")
         found = part if found is None else found.unionByName(part)
-    windows = found.groupBy("doc", "m", "k", "start", "win").agg(F.count(F.lit(1)).alias("seeds")).drop("seeds")
-    windows = scratch.cut(windows.withColumn("wid", F.xxhash64("doc", "m", "k", "start", "win")))
+    found = scratch.cut(found.distinct())
 
-    # 2. fingerprints of windows and items: weighted bit sums over distinct shingles
+    # 2. pairs: with an item's shingles in order of weight, a document whose heaviest shared one
+    # leaves too little of the norm from there on cannot reach the similarity
+    own = W.partitionBy("item", "m")
+    left = F.sum("square").over(own.orderBy("weight", "h").rowsBetween(W.unboundedPreceding, 0))
+    heavy = items_of.select("item", "m", "h", left.alias("left"), F.sum("square").over(own).alias("all"))
+    heavy = scratch.cut(heavy.filter(F.col("left") >= F.col("all") * least).select("item", "m", "h"))
+    of_kind = F.least("m", F.lit(k)) == F.col("k")
+    pairs = scratch.cut(found.select("key", "k", "h").distinct().join(hint(heavy), "h").filter(of_kind).select("key", "item", "m").distinct())
+
+    # 3. what every window shares: a shingle counts in the windows that hold it and start after its last place before
+    before = F.lag("p").over(W.partitionBy("key", "k", "h").orderBy("p"))
+    shared = found.withColumn("before", before).join(hint(items_of), "h").filter(of_kind).join(pairs, ["key", "item", "m"])
+    begin = F.greatest(F.lit(0), F.col("p") - F.col("m") + F.col("k"), F.coalesce("before", F.lit(-1)) + 1)
+    last = F.greatest(F.lit(1), F.col("size") - F.col("m") + F.col("k"))
+    events = F.array(F.struct(begin.alias("s"), F.col("square").alias("d")), F.struct((F.col("p") + 1).alias("s"), (-F.col("square")).alias("d")))
+    events = shared.select("key", "item", "m", "k", last.alias("last"), F.explode(events).alias("e"))
+    events = events.groupBy("key", "item", "m", "k", "last", F.col("e.s").alias("s")).agg(F.sum("e.d").alias("d"))
+    order = W.partitionBy("key", "item", "m", "k", "last").orderBy("s")
+    spans = events.withColumn("both", F.sum("d").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    spans = spans.withColumn("end", F.least(F.lead("s").over(order), F.col("last")) - 1).join(hint(item_norm), ["item", "m"])
+    spans = spans.filter((F.col("both") > 0) & (F.col("both") >= F.col("item_norm") * least) & (F.col("end") >= F.col("s")))
+    near = spans.select("key", "item", "m", "k", "both", "item_norm", F.explode(F.sequence("s", "end")).alias("start"))
+    near = scratch.cut(near.withColumn("wid", F.xxhash64("key", "m", "start")))
+
+    # 4. those windows, cut from the texts
+    asked = scratch.cut(near.select("key", "k", "m", "start").distinct().groupBy("key", "k").agg(F.collect_list(F.struct("m", "start")).alias("asked")))
+    few = F.broadcast if asked.count() <= MAX_BROADCAST else (lambda x: x)  # else all texts are shuffled
+    texts = keyed.join(few(asked.select("key").distinct()), "key", "left_semi")
+    cuts = None
+    for n in kinds:
+        part = texts.join(asked.filter(F.col("k") == n), "key")
+        part = part.select("doc", "key", "k", "asked", shingle_hashes(words_of(F.col("text")), n).alias("hashes"))
+        part = part.select("doc", "key", "k", "hashes", F.explode("asked").alias("a")).select("doc", "key", "k", "a.m", "a.start", "hashes")
+        part = part.withColumn("win", F.array_distinct(F.slice("hashes", F.col("start") + 1, F.col("m") - F.col("k") + 1))).drop("hashes")
+        cuts = part if cuts is None else cuts.unionByName(part)
+    windows = cuts.groupBy("doc", "key", "m", "k", "start", "win").agg(F.count(F.lit(1)).alias("rows")).drop("rows")
+    windows = scratch.cut(windows.withColumn("wid", F.xxhash64("key", "m", "start")))
+    win_rows = windows.select("wid", F.explode("win").alias("h"), F.size("win").alias("n"))
+
+    # 5. similarities, and the best windows of a document and item
+    norms = win_rows.join(hint(weights), "h", "left").withColumn("weight", F.coalesce("weight", F.lit(top)).cast("long")).groupBy("wid").agg(F.sum(square).alias("norm"))
+    scored = near.join(norms, "wid").withColumn("similarity", F.col("both") / F.sqrt(F.col("norm").cast("double") * F.col("item_norm"))).filter(F.col("similarity") >= similarity - 1e-12)
+    hits = scratch.cut(scored.select("wid", "item", "m", "similarity").join(windows.select("wid", "doc", "start"), "wid"))
+    most = hits.groupBy(F.col("doc").alias("of_doc"), F.col("item").alias("of_item")).agg(F.max("similarity").alias("most"))
+    hits = hits.join(most, F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("item") == F.col("of_item")) & (F.col("similarity") == F.col("most")))
+    hits = scratch.cut(hits.select("wid", "doc", "item", "m", "start", "similarity"))
+
+    # fingerprints of windows and items: weighted bit sums over distinct shingles
     def prints(rows: DataFrame, keys: list[str]) -> DataFrame:
         rows = rows.join(hint(weights), "h", "left").withColumn("weight", F.coalesce("weight", F.lit(top)).cast("long"))
         # lanes are 16 bits wide: very long windows scale their weights down to fit
         cap = F.greatest(F.lit(1), F.expr(f"cast(floor(65535 / greatest(1, n * {top})) as long)"))
         scaled = F.when(F.col("n") * top <= 65535, F.col("weight")).otherwise(F.greatest(F.lit(1), F.least(cap, F.col("weight")))).cast("long")
-        sums = rows.withColumn("lw", scaled).groupBy(*keys).agg(*_lane_sums(F.col("h"), F.col("lw")), F.sum("lw").alias("total"), F.sum(F.col("weight") * F.col("weight")).alias("norm"))
-        return sums.select(*keys, _fingerprint(F.col("total")).alias("fp"), "norm")
+        sums = rows.withColumn("lw", scaled).groupBy(*keys).agg(*_lane_sums(F.col("h"), F.col("lw")), F.sum("lw").alias("total"))
+        return sums.select(*keys, _fingerprint(F.col("total")).alias("fp"))
 
-    win_rows = windows.select("wid", F.explode(F.array_distinct("win")).alias("h"), F.size(F.array_distinct("win")).alias("n"))
-    win_fp = scratch.cut(prints(win_rows, ["wid"]))
+    win_fp = prints(win_rows.join(hits.select("wid").distinct(), "wid"), ["wid"])
     item_rows = sets.groupBy("item", "m", "k").agg(F.collect_set("h").alias("set")).withColumn("n", F.size("set"))
-    item_rows = scratch.cut(item_rows)
-    item_fp = prints(item_rows.select("item", "m", "k", "n", F.explode("set").alias("h")), ["item", "m", "k"])
-    item_fp = scratch.cut(item_fp.join(item_rows.select("item", "m", "k", "set"), ["item", "m", "k"]))
-
-    # 3. candidates: with an item's shingles in order of weight, a window whose heaviest shared one
-    # leaves too little of the norm from there on cannot reach the similarity
-    items_of = scratch.cut(sets.select("item", "m", "h").distinct().join(hint(weights), "h"))
-    own, square = W.partitionBy("item", "m"), F.col("weight") * F.col("weight")
-    left = F.sum(square).over(own.orderBy("weight", "h").rowsBetween(W.unboundedPreceding, 0))
-    heavy = items_of.select("item", "m", "h", left.alias("left"), F.sum(square).over(own).alias("all"))
-    heavy = scratch.cut(heavy.filter(F.col("left") >= F.col("all") * (max(0.0, similarity - 1e-9) ** 2)).select("item", "m", "h"))
-    near = scratch.cut(win_rows.select("wid", "h").join(hint(heavy), "h").select("wid", "item", "m").distinct())
-
-    # 4. verification on the shingles themselves
-    near = near.join(win_fp, "wid").join(hint(item_fp.select("item", "m", F.col("fp").alias("item_fp"), F.col("norm").alias("item_norm"))), ["item", "m"])
-    near = near.withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).drop("fp", "item_fp")
-    pairs = near.join(win_rows.select("wid", "h"), "wid").join(hint(items_of), ["item", "m", "h"])
-    scored = pairs.groupBy("wid", "item", "m", "distance", "norm", "item_norm").agg(F.sum(square).alias("both"))
-    scored = scored.withColumn("similarity", F.col("both") / F.sqrt(F.col("norm").cast("double") * F.col("item_norm"))).filter(F.col("similarity") >= similarity - 1e-12)
-    hits = scored.select("wid", "item", "distance", "similarity").join(windows.select("wid", "doc", "start", F.col("m").alias("n_words")).distinct(), "wid")
-    best = F.max(F.struct("similarity", (-F.col("distance")).alias("d"), (-F.col("start")).alias("s"), "n_words")).alias("b")
+    item_fp = scratch.cut(prints(item_rows.select("item", "m", "n", F.explode("set").alias("h")), ["item", "m"]).withColumnRenamed("fp", "item_fp"))
+    hits = hits.join(win_fp, "wid").join(hint(item_fp), ["item", "m"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
+    best = F.max(F.struct("similarity", (-F.col("distance")).alias("d"), (-F.col("start")).alias("s"), F.col("m").alias("n_words"))).alias("b")
     out = hits.groupBy("doc", "item").agg(best)
     return scratch.cut(out.select(F.col("doc").alias("doc_id"), F.col("item").cast("long").alias("item_id"), (-F.col("b.s")).cast("long").alias("start"), F.col("b.n_words").cast("long").alias("n_words"), (-F.col("b.d")).cast("int").alias("distance"), F.round("b.similarity", 6).alias("similarity")))
