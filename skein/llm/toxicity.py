@@ -66,9 +66,17 @@ def features(batch_text: pa.Array):
 
 
 def ftrl(docs: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1, epochs: int = 6, seed: int = 1) -> Model:
-    """FTRL-proximal with a rate for each coordinate; L1 leaves most weights at exactly zero."""
-    size = 1 << BITS
-    z, n, zb, nb = np.zeros(size), np.zeros(size), 0.0, 0.0
+    """FTRL-proximal with a rate for each coordinate; L1 leaves most weights at exactly zero.
+
+    State is held for features that occur, not for all 2^BITS.
+    """
+    occurs = np.zeros(1 << BITS, bool)
+    for x in docs:
+        occurs[x] = True
+    known = np.flatnonzero(occurs)
+    place = np.zeros(1 << BITS, np.int32)
+    place[known] = np.arange(len(known))
+    z, n, zb, nb = np.zeros(len(known)), np.zeros(len(known)), 0.0, 0.0
     rng = np.random.default_rng(seed)
 
     def weights(z, n, l1):
@@ -76,7 +84,7 @@ def ftrl(docs: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, alpha:
 
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
-            x = docs[i]
+            x = place[docs[i]]
             w = weights(z[x], n[x], l1)
             wb = float(weights(zb, nb, 0.0))
             p = 1.0 / (1.0 + np.exp(-np.clip(w.sum() + wb, -35, 35)))
@@ -88,9 +96,8 @@ def ftrl(docs: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, alpha:
             n[x] += g * g
             rb = np.sqrt(nb + g * g)
             zb, nb = zb + g - (rb - np.sqrt(nb)) / alpha * wb, nb + g * g
-    w = weights(z, n, l1)
-    found = np.flatnonzero(w)
-    return Model(found, w[found], float(weights(zb, nb, 0.0)))
+    found = np.flatnonzero(np.abs(z) > l1)
+    return Model(known[found], weights(z[found], n[found], l1), float(weights(zb, nb, 0.0)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_fit: int = MAX_FIT, max_bytes: int = MAX_BYTES) -> Model:
@@ -136,7 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         seen = np.zeros(1 << BITS, np.int32)
         for x in found:
             seen[x] += 1
-        found = [found[i][seen[found[i]] > 1] for i in order]
+        for i, x in enumerate(found):  # in place: two copies of all documents' features would be held otherwise
+            found[i] = x[seen[x] > 1]
+        found = [found[i] for i in order]
         y = y[order]
         model = ftrl(found, y, np.where(y == 1, share[1], share[0]) / scale)
         yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.features], pa.list_(pa.int64())), pa.array([model.weights], pa.list_(pa.float64()))], names=["bias", "features", "weights"])
