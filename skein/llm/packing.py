@@ -152,7 +152,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, id_col: str, text_col:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(B.trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -234,7 +234,7 @@ def best_fit(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(size), part, np.int32)), pa.array(rank)], names=[*batch.schema.names, "_part", "_rank"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    ranked = scratch.cut(base.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(local_rank, f"{fields}, _part int, _rank long"))
+    ranked = scratch.cut(base.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(B.trimmed(local_rank), f"{fields}, _part int, _rank long"))
     # partitions hold ranges of lengths: at most (partitions + capacity) rows
     tally = sorted((r["length"], r["_part"], r["n"]) for r in ranked.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("n")).collect())
     counts: dict[int, int] = {}

@@ -20,3 +20,15 @@ def test_state_follows_the_features_that_occur():
     top = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
     assert (np.diff(model.features) > 0).all() and (model.weights != 0).all()
     assert top[(1 << BITS) - 2] > 0 > top[(1 << BITS) - 1]
+
+
+def test_packing_gives_freed_memory_back(spark, monkeypatch):
+    import public_tokenizers
+
+    from skein.llm import blocks, packing
+
+    given, whole = [], blocks.trimmed
+    monkeypatch.setattr(blocks, "trimmed", lambda run: given.append(run.__name__) or whole(run))
+    docs = spark.createDataFrame([(i, f"some words {i} " * 50) for i in range(20)], "doc_id long, text string")
+    out = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 64, end_id=2)
+    assert out.select("doc_id").distinct().count() == 20 and "run" in given
