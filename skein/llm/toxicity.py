@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -161,19 +160,19 @@ def score_column(spark, model: Model):
     shared = spark.sparkContext.broadcast((model.features, model.weights, model.bias))
     cache: dict[str, np.ndarray] = {}
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")  # the texts stay in one buffer
+    def score(text: pa.Array) -> pa.Array:
         feats, weights, bias = shared.value
         if "w" not in cache:
             w = np.zeros(1 << BITS, np.float32)
             w[feats] = weights
             cache["w"] = w
         out = np.full(len(text), bias)
-        for lo, hi, row, f in features(pa.array(text, pa.string(), from_pandas=True)):
+        for lo, hi, row, f in features(text):
             hit = cache["w"][f] != 0
             pairs = np.unique(row[hit] * (1 << BITS) + f[hit])  # a feature counts once a document
             out[lo:hi] += np.bincount(pairs >> BITS, weights=cache["w"][pairs & ((1 << BITS) - 1)].astype(float), minlength=hi - lo)
-        return pd.Series(1.0 / (1.0 + np.exp(-np.clip(out, -35, 35))))
+        return pa.array(1.0 / (1.0 + np.exp(-np.clip(out, -35, 35))))
 
     return score
 

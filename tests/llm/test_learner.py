@@ -32,3 +32,14 @@ def test_packing_gives_freed_memory_back(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"some words {i} " * 50) for i in range(20)], "doc_id long, text string")
     out = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 64, end_id=2)
     assert out.select("doc_id").distinct().count() == 20 and "run" in given
+
+
+def test_scoring_reads_arrow_texts(spark):
+    from pyspark.util import PythonEvalType
+
+    from skein.llm.toxicity import Model, score_column
+
+    score = score_column(spark, Model(np.zeros(0, np.int64), np.zeros(0), 0.0))
+    assert score.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF  # no text becomes a Python object
+    docs = spark.createDataFrame([("a b",), (None,), ("",)], "t string")
+    assert [r[0] for r in docs.select(score("t")).collect()] == [0.5] * 3
