@@ -11,6 +11,9 @@ results, and extra columns travel along.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ from skein.runtime import Scratch
 REJECT = 0.3  # score from which a document counts as toxic
 CAPACITY = 1024
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below REJECT."""
@@ -61,8 +66,9 @@ def ngram_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = groups.join(keyed.select("key", "id").distinct(), "key")
     kept = ids.groupBy("grp").agg(F.min(F.struct("id", "key", "n")).alias("k")).select("k.*")
     kept = scratch.cut(kept.filter("id is not null"))
-    keep = kept.select(F.col("key").alias("_keep"))
-    out = docs.join(keep, row_key() == keep["_keep"], "left_semi")
+    # most rows stay: the few keys that go are joined, so that the texts need no shuffle for it
+    gone = scratch.cut(groups.select("key").join(kept.select("key"), "key", "left_anti").select(F.col("key").alias("_gone")))
+    out = docs.filter(F.col("doc_id").isNotNull()).join(gone, row_key() == gone["_gone"], "left_anti")
     # a distinct over texts runs only if there are rows that repeat an id and its text
     if not kept.filter("n > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "text"])
@@ -84,7 +90,18 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, end_id=2)
 
 
-STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("ngram_join", ngram_dedup), ("decontamination", decontamination), ("packing", packing)]
+def shrunk(stage: Stage) -> Stage:
+    """`stage`, before which the executors give back the heap that the stages before it have widened."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        Scratch(spark).shrink()
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, shrunk(f)) for name, f in (("toxicity", toxicity), ("line_dedup", line_dedup), ("ngram_join", ngram_dedup), ("decontamination", decontamination), ("packing", packing))]
 
 #: The stages hold learned and iterative steps that SQL cannot express; tests check them instead.
 ORACLE_SQL = None

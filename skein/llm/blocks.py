@@ -18,19 +18,39 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 20
 
 
+#: What modules keep in a worker from one task to the next: name of the module -> dict.
+KEPT: dict[str, dict] = {}
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def forget(but: str = "") -> None:
+    """Drop what modules other than `but` keep in this worker."""
+    held = [x for name, x in KEPT.items() if x and name != but]
+    for x in held:
+        x.clear()
+    if held:
+        give_back()
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """`run`, after which the worker gives freed memory back to the system.
 
     Workers serve one task after the other; what their allocators keep of a large one would
-    count against the executor for as long as they live.
+    count against the executor for as long as they live. So would what another module's tasks
+    have kept for their like: that goes before `run` begins.
     """
 
     def whole(batches: Iterator) -> Iterator:
+        forget(run.__module__)
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return whole
 

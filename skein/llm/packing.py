@@ -40,7 +40,7 @@ _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 _MARK[[i for i in range(0x21, 0x7F) if not chr(i).isalnum()]] = True
-_held: dict[str, object] = {}
+_held: dict[str, object] = B.KEPT.setdefault(__name__, {})
 
 
 class _Ids:

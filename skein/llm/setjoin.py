@@ -29,6 +29,8 @@ SKETCH_BITS = 24
 HOT = 10
 #: Candidates that one tree holds.
 TREE = 512
+#: With no more wanted classes than this, their places (24 bytes each) are broadcast to the texts.
+PLACES = 1 << 18
 #: Mean tokens a record from which records are cut one by one.
 LONG = 200
 NO_ID = -(1 << 63)
@@ -156,7 +158,8 @@ class SetJoin:
         ratio, records, cut = self.ratio, self.records, self.scratch.cut
         pairs = cut(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        where = self.classes.join(wanted, "cid", "left_semi").groupBy("doc").agg(F.collect_set("cid").alias("want"))
+        where = cut(self.classes.join(wanted, "cid", "left_semi").groupBy("doc").agg(F.collect_set("cid").alias("want")))
+        few = (where.agg(F.sum(F.size("want"))).first()[0] or 0) <= PLACES
         shared = self.spark.sparkContext.broadcast(self.rarity)
 
         def sets_of(batches):
@@ -176,7 +179,7 @@ class SetJoin:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["cid", "tokens"])
 
         # rows that repeat an id may yield a class twice: the trees take one of them
-        sets = cut(self.docs.join(where, "doc").select("doc", "text", "want").mapInArrow(B.trimmed(sets_of), "cid long, tokens binary"))
+        sets = cut(self.docs.join(F.broadcast(where) if few else where, "doc").select("doc", "text", "want").mapInArrow(B.trimmed(sets_of), "cid long, tokens binary"))
         trees = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(1) / {TREE}) as int)").alias("k"))
         trees = cut(trees)
         right = pairs.join(trees, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))

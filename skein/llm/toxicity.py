@@ -164,6 +164,7 @@ def score_column(spark, model: Model):
     def score(text: pa.Array) -> pa.Array:
         feats, weights, bias = shared.value
         if "w" not in cache:
+            B.forget(__name__)
             w = np.zeros(1 << BITS, np.float32)
             w[feats] = weights
             cache["w"] = w

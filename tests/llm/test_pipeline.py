@@ -119,3 +119,30 @@ def test_run_and_every_stage(spark, tmp_path):
     for r in cp.run(spark, path).collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
     assert got == total
+
+
+def test_stages_begin_with_heap_given_back(spark, data, monkeypatch):
+    from skein.runtime import Scratch
+
+    asked, shrink = [], Scratch.shrink
+    monkeypatch.setattr(Scratch, "shrink", lambda self: asked.append(1) or shrink(self))
+    for _, stage in cp.STAGES[2:4]:
+        assert stage(spark, data[0].limit(0), data[1]).count() == 0
+    assert len(asked) == 2
+
+
+def test_workers_forget_what_packing_keeps(spark):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from skein.llm import blocks, packing
+
+    list(packing.token_bytes(pa.array(["a text of words"]), public_tokenizers.path("byte_bpe_50k.json")))
+
+    def run(batches):
+        yield from batches
+
+    run.__module__ = packing.__name__
+    assert list(blocks.trimmed(run)([1])) == [1] and packing._held  # the next task of its own finds it
+    run.__module__ = "skein.llm.line_dedup"
+    assert list(blocks.trimmed(run)([1])) == [1] and not packing._held
