@@ -14,6 +14,8 @@ one, which settles nearly all, and only lines that are still open meet the other
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,6 +34,8 @@ DENSE = 16
 #: Tokens with an estimated log2 frequency from here on are grouped by partial aggregates alone;
 #: the groups of others fit a task and are compared in time.
 HOT = 14
+#: Parts of the tokens that are posted one after the other: shuffle files hold one part's postings.
+POSTED = 3
 #: Pairs of one line that a task verifies together.
 CHUNK = 1024
 #: With no more candidate lines than this, their places (24 bytes each) are broadcast to the texts.
@@ -274,13 +278,18 @@ def sets_of(own: DataFrame, classes: DataFrame, wanted: DataFrame, k: int, scrat
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["cid", "tokens"])
 
     found = own.join(F.broadcast(where) if lines <= PLACES else where, ["doc", "mark"]).select("doc", "text", "want").mapInArrow(B.trimmed(cut), "cid long, tokens binary")
-    return scratch.cut(found.groupBy("cid").agg(F.first("tokens").alias("tokens")))  # rows may repeat
+    found = scratch.cut(found)
+    if found.count() == lines:
+        return found
+    return scratch.cut(found.groupBy("cid").agg(F.first("tokens").alias("tokens")))  # rows repeat
 
 
 def verified(pairs: DataFrame, sets: DataFrame, ratio: Ratio, scratch: Scratch) -> DataFrame:
     """The (a, b) of `pairs` whose sets reach the ratio; a line's pairs are dealt in chunks."""
     parts = scratch.cut(pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(1) / {CHUNK}) as int)").alias("k")))
-    right = pairs.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b").join(parts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
+    # sets are joined last: each join after them would shuffle them anew
+    right = pairs.join(parts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
+    right = right.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y")), "b")
     left = parts.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
     both = right.select("a", "b", "salt", "y").join(left, ["a", "salt"]).select("a", "b", "x", "y")
     return both.mapInArrow(B.trimmed(agree(ratio)), "a long, b long")
@@ -311,12 +320,19 @@ def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> Dat
 
     new = rows.filter("kind = 0 and size(prefix) > 0")
     hot = F.shiftrightunsigned("token", 56) >= HOT
-    grouped = cut(posts(new).filter(~hot).repartition("token").sortWithinPartitions("token").mapInArrow(B.trimmed(near_pairs(ratio, DENSE)), _PAIRS))
+    grouped = []
+    for i in range(POSTED):
+        scratch.release()
+        part = posts(new).filter(~hot & (F.pmod("token", F.lit(POSTED)) == i))
+        grouped.append(cut(part.repartition("token").sortWithinPartitions("token").mapInArrow(B.trimmed(near_pairs(ratio, DENSE)), _PAIRS)))
+    parts, grouped = grouped, reduce(DataFrame.unionByName, grouped)
     scratch.release()
     # prefixes ascend by frequency: the last token tells whether any is hot
     often = posts(new.filter(F.shiftrightunsigned(F.element_at("prefix", -1), 56) >= HOT)).filter(hot)
     often = often.groupBy("token", "cid").agg(*[F.first(c).alias(c) for c in ("at", "lo", "hi")])
     dealt = cut(grouped.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cid"), "at", "lo", "hi").unionByName(often))
+    lines = cut(rows.filter("kind = 0").select("cid", *_FIRST))
+    scratch.drop(rows)
     # all that follows asks for the classes of these postings and pairs alone
     asked = grouped.filter("kind = 0").select(F.explode(F.array("a", "b")).alias("cid")).unionByName(dealt.select("cid")).distinct()
     known = cut(classes.select("cid", "f").join(asked, "cid", "left_semi"))
@@ -342,11 +358,12 @@ def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> Dat
     # a line is compared with the candidate that shares most rare tokens first, with others only if that fails
     near = grouped.filter("kind = 0").select("a", "b").unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     tested = cut(ordered(near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))))
-    scratch.drop(grouped)
+    scratch.drop(*parts)
     scratch.release()
     best = cut(tested.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select("m.a", "b"))
     sets = sets_of(own, known, ends(tested), k, scratch)
     settled = settle(best, sets, None)
+    scratch.release()
     more = cut(tested.join(settled.select(F.col("cid").alias("b")), "b", "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b"))
     if not more.isEmpty():
         settled = settle(more, sets, settled)
@@ -372,8 +389,11 @@ def removed_lines(own: DataFrame, k: int, ratio: Ratio, scratch: Scratch) -> Dat
     copies = classes.filter("size > 1").select("cid", F.lit(False).alias("hit"), *first)
     out = cut(copies.unionByName(settled.withColumn("hit", F.lit(True)), allowMissingColumns=True))
     other = (F.col("doc") != F.col("fdoc")) | (F.col("mark") != F.col("fmark")) | (F.col("line") != F.col("fline"))
-    gone = rows.filter("kind = 0").select("cid", *_FIRST).join(out, "cid").filter(F.col("hit") | other)
-    return cut(gone.groupBy("doc", "mark").agg(F.collect_set("line").alias("gone")))
+    gone = lines.join(out, "cid").filter(F.col("hit") | other)
+    gone = cut(gone.groupBy("doc", "mark").agg(F.collect_set("line").alias("gone")))
+    scratch.drop(lines, classes, settled, out)
+    scratch.release()
+    return gone
 
 
 def kept_lines():
