@@ -100,3 +100,22 @@ def test_bitmaps_bound_the_overlap():
         for j, y in enumerate(sets):
             apart = int(np.bitwise_count(lo[i] ^ lo[j])) + int(np.bitwise_count(hi[i] ^ hi[j]))
             assert len(np.intersect1d(x, y)) <= (len(x) + len(y) - apart) // 2
+
+
+def test_line_rows_go_before_the_texts_are_joined(spark, monkeypatch):
+    from pathlib import Path
+
+    from skein.llm import line_dedup as ld
+
+    made = []
+
+    class Seen(ld.Scratch):
+        def __init__(self, spark):
+            super().__init__(spark)
+            made.append(self)
+
+    monkeypatch.setattr(ld, "Scratch", Seen)
+    out = ld.dedup_lines(spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "d")], "doc_id long, text string"), k=1)
+    root = Path(made[0].root.removeprefix("file://"))
+    assert root.is_dir() and not (root / "1").exists()  # the rows of all lines are cut first
+    assert {r["doc_id"]: r["_n_removed"] for r in out.collect()} == {1: 0, 2: 1, 3: 0}
