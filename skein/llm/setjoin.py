@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from skein.runtime import Scratch
 SKETCH_BITS = 24
 #: Tokens with an estimated log2 frequency from here on skip the grouping that looks for partners.
 HOT = 10
+#: Parts of the tokens that are posted one after the other: shuffle files hold one part's postings.
+POSTED = 3
 #: Candidates that one tree holds.
 TREE = 512
 #: With no more wanted classes than this, their places (24 bytes each) are broadcast to the texts.
@@ -78,7 +81,34 @@ def first_tokens(t: np.ndarray, start: np.ndarray, keep: np.ndarray) -> np.ndarr
     return t[np.minimum(pos, len(t) - 1)]  # two hashes of a record may give one token
 
 
-_POSTED = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("cid", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+def marks(t: np.ndarray, start: np.ndarray) -> list[bytes]:
+    """Each set's length and the parity of its tokens in 64 * 2^j slots, the least such number that is no smaller.
+
+    A token of one of two sets changes one parity, so two marks differ in no more slots than the
+    sets in tokens. The hash's low bits give the slot: a larger mark folds into a smaller one.
+    """
+    n = np.diff(start)
+    size = 8 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(size)])
+    slot = (t & np.repeat(size * 8 - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(at[:-1] * 8, n)
+    odd = np.packbits((np.bincount(slot, minlength=at[-1] * 8) & 1).astype(np.uint8)).tobytes()
+    return [int(m).to_bytes(8, "little") + odd[i:j] for m, i, j in zip(n, at[:-1], at[1:], strict=True)]
+
+
+def not_apart(probe: bytes, held: dict[int, bytes], ratio: Ratio) -> list[int]:
+    """Which of the held marks do not rule out that their sets link with the probe's."""
+    n, x = int.from_bytes(probe[:8], "little"), np.frombuffer(probe, np.uint8, offset=8)
+    out = []
+    for cid, raw in held.items():
+        m, y = int.from_bytes(raw[:8], "little"), np.frombuffer(raw, np.uint8, offset=8)
+        size = min(len(x), len(y))
+        differ = np.bitwise_xor.reduce(np.concatenate([x, y]).reshape(-1, size))
+        if int(np.bitwise_count(differ).sum()) <= n + m - 2 * ratio.overlap(n, m):
+            out.append(cid)
+    return out
+
+
+_POSTED = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("cid", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("mark", pa.binary())])
 
 
 class SetJoin:
@@ -90,12 +120,14 @@ class SetJoin:
         self.scratch = Scratch(self.spark)
 
     def run(self) -> "SetJoin":
-        """Fill `members` (doc, line, cid, n), `classes` (cid, n, doc, line of the first record, size) and `posted`.
+        """Fill `members` (doc, line, cid, n), `classes` (cid, n, doc, line of the first record, size), `marks` and `posted`.
 
         A posting is a class's prefix token with its position and the token's earliest posting
-        (lead, ln, lp); postings of the lead itself are left out.
+        (lead, ln, lp); postings of the lead itself are left out. The rows with all prefixes go
+        once they are posted, and a part's shuffle files before the next part comes.
         """
-        records, ratio, cut = self.records, self.ratio, self.scratch.cut
+        records, ratio, scratch = self.records, self.ratio, self.scratch
+        cut = scratch.cut
 
         def hashes(batch):
             for _, _, h, _ in records(batch):
@@ -122,23 +154,35 @@ class SetJoin:
                     flat = first_tokens(t, start, keep)
                     off = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
                     prefix = pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(line.astype(np.int32)), pa.array(cid), pa.array(n.astype(np.int32)), prefix], schema=_POSTED)
+                    mark = [m if k else None for m, k in zip(marks(t, start), keep, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(line.astype(np.int32)), pa.array(cid), pa.array(n.astype(np.int32)), prefix, pa.array(mark, pa.binary())], schema=_POSTED)
 
-        rows = cut(self.docs.mapInArrow(B.trimmed(post), "doc long, line int, cid long, n int, prefix array<long>"))
-        self.members = rows.select("doc", "line", "cid", "n")
+        rows = cut(self.docs.mapInArrow(B.trimmed(post), "doc long, line int, cid long, n int, prefix array<long>, mark binary"))
+        scratch.release()  # the sketch's parts
+        self.members = cut(rows.select("doc", "line", "cid", "n"))
         first = F.min(F.struct("doc", "line")).alias("f")
-        self.classes = cut(rows.filter("n > 0").groupBy("cid", "n").agg(first, F.count(F.lit(1)).alias("size")).select("cid", "n", "f.doc", "f.line", "size"))
+        self.classes = cut(self.members.filter("n > 0").groupBy("cid", "n").agg(first, F.count(F.lit(1)).alias("size")).select("cid", "n", "f.doc", "f.line", "size"))
+        self.marks = cut(rows.filter("mark is not null").select("cid", "mark"))
         # a task posts a class once; its prefix comes from whichever record that was
         posts = rows.filter(F.size("prefix") > 0).select("cid", "n", "doc", "line", F.posexplode("prefix").alias("pos", "token"))
         hot = F.shiftrightunsigned("token", 56) >= HOT
         # a cold token has fewer than 2^HOT postings, so its window is small; hot ones aggregate partially
         lead = F.min(F.struct("doc", "line", "cid", "n", "pos"))
         in_token = W.partitionBy("token")
-        cold = posts.filter(~hot).withColumn("c", F.count(F.lit(1)).over(in_token)).withColumn("l", lead.over(in_token)).filter("c > 1")
+
+        def followers(posted):
+            return cut(posted.filter("cid <> l.cid").select("token", "cid", "n", "pos", F.col("l.cid").alias("lead"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lp")))
+
         often = cut(posts.filter(hot))
         leads = cut(often.groupBy("token").agg(F.count(F.lit(1)).alias("c"), lead.alias("l")).filter("c > 1"))
-        posted = cold.drop("c").unionByName(often.join(leads.select("token", "l"), "token"))
-        self.posted = cut(posted.filter("cid <> l.cid").select("token", "cid", "n", "pos", F.col("l.cid").alias("lead"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lp")))
+        self._postings = [followers(often.join(leads.select("token", "l"), "token"))]
+        for i in range(POSTED):
+            scratch.release()
+            part = posts.filter(~hot & (F.pmod("token", F.lit(POSTED)) == i))
+            self._postings.append(followers(part.withColumn("c", F.count(F.lit(1)).over(in_token)).withColumn("l", lead.over(in_token)).filter("c > 1")))
+        self.posted = reduce(DataFrame.unionByName, self._postings)
+        scratch.drop(rows, often, leads)
+        scratch.release()
         return self
 
     def _fits(self, nx, px, ny, py):
@@ -153,11 +197,55 @@ class SetJoin:
         near = self.posted.filter(self._fits(F.col("n"), F.col("pos"), F.col("ln"), F.col("lp")))
         return near.select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
 
+    def _met(self, pairs: DataFrame, held: DataFrame, test: Callable[[bytes, dict[int, bytes]], list[int]]) -> DataFrame:
+        """The (a, b) of `pairs` that `test` lets pass; an a meets its b in groups of TREE or so.
+
+        `held`: (cid, tokens). A class may come twice, with the same bytes: one of them is taken.
+        """
+        cut = self.scratch.cut
+        trees = cut(pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(1) / {TREE}) as int)").alias("k")))
+        right = pairs.join(trees, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
+        right = right.join(held.select(F.col("cid").alias("b"), "tokens"), "b").select("a", "salt", "b", "tokens")
+        left = trees.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt")).join(held.select(F.col("cid").alias("a"), "tokens"), "a")
+        rows = left.select("a", "salt", F.lit(None).cast("long").alias("b"), "tokens").unionByName(right)
+
+        def walk(batches):
+            key, probe, held = None, None, {}
+
+            def done():
+                hits = test(probe, held) if probe is not None and held else []
+                if hits:
+                    yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(hits), pa.int64()), pa.array(hits, pa.int64())], names=["a", "b"])
+
+            for batch in batches:
+                for a, s, b, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (a, s) != key:
+                        yield from done()
+                        key, probe, held = (a, s), None, {}
+                    if b is None:
+                        probe = t
+                    else:
+                        held[b] = t
+            yield from done()
+
+        found = cut(rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(B.trimmed(walk), "a long, b long"))
+        self.scratch.drop(trees)
+        return found
+
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The (a, b) of `pairs` whose sets link, by prefix trees of at most TREE or so candidates."""
-        ratio, records, cut = self.ratio, self.records, self.scratch.cut
+        """The (a, b) of `pairs` whose sets link, by prefix trees of at most TREE or so candidates.
+
+        Sets are cut anew from the texts only for pairs that their marks do not keep apart: in a
+        large table most candidates share a rare token by chance and no more than that.
+        """
+        ratio, records, scratch = self.ratio, self.records, self.scratch
+        cut = scratch.cut
         pairs = cut(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        held = cut(self.marks.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.first("mark").alias("tokens")))
+        near = self._met(pairs, held, lambda probe, held: not_apart(probe, held, ratio))
+        scratch.drop(pairs, held)
+        wanted = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         where = cut(self.classes.join(wanted, "cid", "left_semi").groupBy("doc").agg(F.collect_set("cid").alias("want")))
         few = (where.agg(F.sum(F.size("want"))).first()[0] or 0) <= PLACES
         shared = self.spark.sparkContext.broadcast(self.rarity)
@@ -178,35 +266,13 @@ class SetJoin:
                             out.append(np.sort(t[start[i] : start[i + 1]])[::-1].astype(">u8").tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["cid", "tokens"])
 
-        # rows that repeat an id may yield a class twice: the trees take one of them
+        # rows that repeat an id may yield a class twice
         sets = cut(self.docs.join(F.broadcast(where) if few else where, "doc").select("doc", "text", "want").mapInArrow(B.trimmed(sets_of), "cid long, tokens binary"))
-        trees = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(1) / {TREE}) as int)").alias("k"))
-        trees = cut(trees)
-        right = pairs.join(trees, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
-        right = right.join(sets.select(F.col("cid").alias("b"), "tokens"), "b").select("a", "salt", "b", "tokens")
-        left = trees.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt")).join(sets.select(F.col("cid").alias("a"), "tokens"), "a")
-        rows = left.select("a", "salt", F.lit(None).cast("long").alias("b"), "tokens").unionByName(right)
-
-        def walk(batches):
-            key, probe, held = None, None, {}
-
-            def done():
-                hits = linked(probe, held, ratio) if probe is not None and held else []
-                if hits:
-                    yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(hits), pa.int64()), pa.array(hits, pa.int64())], names=["a", "b"])
-
-            for batch in batches:
-                for a, s, b, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if (a, s) != key:
-                        yield from done()
-                        key, probe, held = (a, s), None, {}
-                    if b is None:
-                        probe = np.frombuffer(t, ">u8")
-                    else:
-                        held[b] = t
-            yield from done()
-
-        return cut(rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(B.trimmed(walk), "a long, b long"))
+        scratch.release()
+        links = self._met(near, sets, lambda probe, held: linked(np.frombuffer(probe, ">u8"), held, ratio))
+        scratch.drop(near, where, sets)
+        scratch.release()
+        return links
 
     def rest_candidates(self, known: DataFrame, tested: DataFrame, either: bool) -> DataFrame:
         """(a, b), a < b: what the stars left open, from the postings of tokens that hold an open class.
