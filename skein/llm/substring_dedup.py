@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -17,6 +19,10 @@ from skein.runtime import Scratch
 #: Rows of the count-min sketch, and the least and the largest log2 of its width, which follows
 #: the table's bytes: about eight counters an anchor. 2 x 2^29 counters are kept as 128 MB of bits.
 SKETCH_ROWS, SKETCH_BITS = 2, (22, 29)
+#: Windows that a task holds before it settles them among themselves: some 130 bytes each.
+HELD = 1 << 21
+
+_NAMES = ["h", "tail", "doc", "mark", "at", "starts"]
 
 
 def _sliding(x: np.ndarray, w: int, f) -> np.ndarray:
@@ -53,6 +59,69 @@ def anchors(words: np.ndarray, first: np.ndarray, window: int, gram: int):
     return g[(top == g) & (g > 0)], least[pos], pos
 
 
+def settle(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """One row for each of these windows, in its smallest document; the others are settled here. Empties the list."""
+    h, tail, doc, mark, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    order = np.lexsort((at, mark, doc, tail, h))
+    h, tail, doc, mark, at = (x[order] for x in (h, tail, doc, mark, at))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (tail[1:] != tail[:-1])
+    lead = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    settled = doc > lead
+    # windows of the smallest document: one row a window and document, with all its starts there
+    own = np.flatnonzero(~settled)
+    if len(own):
+        k = np.ones(len(own), bool)
+        k[1:] = new[own][1:] | (mark[own][1:] != mark[own][:-1])
+        begin = np.flatnonzero(k)
+        n = np.diff(np.append(begin, len(own)))
+        # by document: neighbours share id and mark, which compress; only further starts need a list
+        by_doc = np.lexsort((at[own[begin]], mark[own[begin]], doc[own[begin]]))
+        begin, n = begin[by_doc], n[by_doc]
+        take = own[begin]
+        for i in range(0, len(take), 1 << 16):
+            x, more = take[i : i + (1 << 16)], n[i : i + (1 << 16)] - 1
+            off = np.concatenate([[0], np.cumsum(more)])
+            rest = np.repeat(begin[i : i + (1 << 16)] + 1 - off[:-1], more) + np.arange(off[-1])
+            starts = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(at[own[rest]]), mask=pa.array(more == 0))
+            yield pa.RecordBatch.from_arrays([pa.array(h[x]), pa.array(tail[x]), pa.array(doc[x]), pa.array(mark[x]), pa.array(at[x]), starts], names=_NAMES)
+    gone = np.flatnonzero(settled)
+    if len(gone):
+        gone = gone[np.lexsort((at[gone], mark[gone], doc[gone]))]
+        k = np.ones(len(gone), bool)
+        k[1:] = (doc[gone][1:] != doc[gone][:-1]) | (mark[gone][1:] != mark[gone][:-1])
+        begin = np.flatnonzero(k)
+        off = np.append(begin, len(gone)).astype(np.int32)
+        starts = pa.ListArray.from_arrays(pa.array(off), pa.array(at[gone]))
+        first = gone[begin]
+        yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.nulls(len(first), pa.int64()), pa.array(doc[first]), pa.array(mark[first]), pa.nulls(len(first), pa.int32()), starts], names=_NAMES)
+
+
+def suspects(batches: Iterator[pa.RecordBatch], sketch: Callable[[], np.ndarray], window: int, gram: int, held: int) -> Iterator[pa.RecordBatch]:
+    """The suspected windows of (doc, text, mark), settled among about `held` of them at a time."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        marks = batch.column(2).to_numpy(zero_copy_only=False)
+        for lo, hi, b, off in B.blocks(batch.column(1)):
+            s, e, first = B.word_spans(b, off)
+            words = B.word_hashes(b, s, e)
+            _, anchor, pos = anchors(words, first, window, gram)
+            pos = pos[S.is_repeated(sketch(), anchor)]
+            if len(pos):
+                row = np.searchsorted(first, pos, "right") - 1
+                h, h2 = B.combine(words, window)[pos], B.combine(words, window, True)[pos]
+                parts.append((B.signed(h), (h2 >> np.uint64(33)).astype(np.int64), ids[lo:hi][row], marks[lo:hi][row], (pos - first[row]).astype(np.int32)))
+                n += len(pos)
+            if n >= held:
+                yield from settle(parts)
+                n = 0
+    if parts:
+        yield from settle(parts)
+
+
 def removed_windows(docs: DataFrame, window: int, gram: int, scratch: Scratch) -> DataFrame:
     """(doc, mark, starts): windows of a document that also start in a document with a smaller id.
 
@@ -68,61 +137,9 @@ def removed_windows(docs: DataFrame, window: int, gram: int, scratch: Scratch) -
     anchored = size // 6 * 2 // (window - gram + 2)  # words, and the share of grams that are least in some window
     merged = S.build(docs, counted, min(max((8 * anchored).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1]), SKETCH_ROWS, repeated=True)
     shared = docs.sparkSession.sparkContext.broadcast(merged)
-    names = ["h", "tail", "doc", "mark", "at", "starts"]
-
-    def suspects(batches):
-        """Per task one row for each suspected window, in its smallest document; the others are settled here."""
-        parts: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            marks = batch.column(2).to_numpy(zero_copy_only=False)
-            for lo, hi, b, off in B.blocks(batch.column(1)):
-                s, e, first = B.word_spans(b, off)
-                words = B.word_hashes(b, s, e)
-                _, anchor, pos = anchors(words, first, window, gram)
-                pos = pos[S.is_repeated(shared.value, anchor)]
-                if len(pos):
-                    row = np.searchsorted(first, pos, "right") - 1
-                    h, h2 = B.combine(words, window)[pos], B.combine(words, window, True)[pos]
-                    parts.append((B.signed(h), (h2 >> np.uint64(33)).astype(np.int64), ids[lo:hi][row], marks[lo:hi][row], (pos - first[row]).astype(np.int32)))
-        if not parts:
-            return
-        h, tail, doc, mark, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((at, mark, doc, tail, h))
-        h, tail, doc, mark, at = (x[order] for x in (h, tail, doc, mark, at))
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (tail[1:] != tail[:-1])
-        lead = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        settled = doc > lead
-        # windows of the smallest document: one row a window and document, with all its starts there
-        own = np.flatnonzero(~settled)
-        if len(own):
-            k = np.ones(len(own), bool)
-            k[1:] = new[own][1:] | (mark[own][1:] != mark[own][:-1])
-            begin = np.flatnonzero(k)
-            n = np.diff(np.append(begin, len(own)))
-            # by document: neighbours share id and mark, which compress; only further starts need a list
-            by_doc = np.lexsort((at[own[begin]], mark[own[begin]], doc[own[begin]]))
-            begin, n = begin[by_doc], n[by_doc]
-            take = own[begin]
-            for i in range(0, len(take), 1 << 16):
-                x, more = take[i : i + (1 << 16)], n[i : i + (1 << 16)] - 1
-                off = np.concatenate([[0], np.cumsum(more)])
-                rest = np.repeat(begin[i : i + (1 << 16)] + 1 - off[:-1], more) + np.arange(off[-1])
-                starts = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(at[own[rest]]), mask=pa.array(more == 0))
-                yield pa.RecordBatch.from_arrays([pa.array(h[x]), pa.array(tail[x]), pa.array(doc[x]), pa.array(mark[x]), pa.array(at[x]), starts], names=names)
-        gone = np.flatnonzero(settled)
-        if len(gone):
-            gone = gone[np.lexsort((at[gone], mark[gone], doc[gone]))]
-            k = np.ones(len(gone), bool)
-            k[1:] = (doc[gone][1:] != doc[gone][:-1]) | (mark[gone][1:] != mark[gone][:-1])
-            begin = np.flatnonzero(k)
-            off = np.append(begin, len(gone)).astype(np.int32)
-            starts = pa.ListArray.from_arrays(pa.array(off), pa.array(at[gone]))
-            first = gone[begin]
-            yield pa.RecordBatch.from_arrays([pa.array(h[first]), pa.nulls(len(first), pa.int64()), pa.array(doc[first]), pa.array(mark[first]), pa.nulls(len(first), pa.int32()), starts], names=names)
-
-    rows = docs.mapInArrow(suspects, "h long, tail long, doc long, mark long, at int, starts array<int>")
+    held = HELD
+    run = B.trimmed(lambda batches: suspects(batches, lambda: shared.value, window, gram, held))
+    rows = docs.mapInArrow(run, "h long, tail long, doc long, mark long, at int, starts array<int>")
     # shuffled as few bytes: tail (31 bits) and first start as one word
     rows = rows.select("h", F.shiftleft("tail", 32).bitwiseOR(F.col("at").cast("long")).alias("place"), "doc", "mark", "starts")
     tail, at = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")

@@ -3,6 +3,7 @@
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -54,9 +55,13 @@ def spark_doubles(store):
     return SparkContext._gateway.new_array(SparkContext._jvm.double, 0)
 
 
-def test_passages_that_repeat_within_documents(spark):
+@pytest.mark.parametrize("held", [None, 40])
+def test_passages_that_repeat_within_documents(spark, monkeypatch, held):
+    from skein.llm import substring_dedup
     from skein.llm.substring_dedup import remove_repeats
 
+    if held:
+        monkeypatch.setattr(substring_dedup, "HELD", held)
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(300)]
     passages = [rng.choices(vocab, k=n) for n in (13, 14, 20, 30)]
@@ -77,3 +82,27 @@ def test_passages_that_repeat_within_documents(spark):
     for tasks in (1, 5):
         docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, tasks), "doc_id long, text string")
         assert {r["doc_id"]: r["text"] for r in remove_repeats(docs).collect()} == want
+
+
+def test_what_a_task_holds_of_windows_does_not_grow_with_its_input():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from skein.llm.substring_dedup import suspects
+
+    rng = random.Random(2)
+    vocab = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rng.choices(vocab, k=400)) for _ in range(100)]
+
+    def peak(batches):
+        table = (pa.RecordBatch.from_arrays([pa.array(range(i * 100, i * 100 + 100)), pa.array(texts), pa.array([7] * 100)], names=["doc", "text", "mark"]) for i in range(batches))
+        tracemalloc.start()
+        rows = sum(len(out) for out in suspects(table, lambda: np.full((2, 1 << 19), 255, np.uint8), 13, 6, 1 << 16))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return rows, most
+
+    few, many = peak(4), peak(40)
+    assert many[0] > few[0] and many[1] < 1.5 * few[1], (few, many)
