@@ -82,3 +82,48 @@ def test_degrees_and_edge_probes_cover_all_events(spark, tmp_path):
     assert got == {v: degree[v] for v in range(41)}
     got = [tuple(r) for r in QUERIES["edge_exists"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(set(edges))
+
+
+@pytest.mark.parametrize("groups", [1, 4])
+def test_triangles_of_multigraphs_in_cells(spark, monkeypatch, groups):
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    from skein.operators import triangles
+
+    monkeypatch.setattr(triangles, "_WALKS", 50)
+    monkeypatch.setattr(triangles, "SMALL", 0 if groups > 1 else 1 << 14)
+    monkeypatch.setattr(triangles, "GROUPS", groups)
+    rng = random.Random(5)
+    rows = [(rng.randrange(-3, 20), rng.randrange(-3, 20)) for _ in range(400)] + [(7, 30 + i % 9) for i in range(30)] + [(30 + i, 31 + i) for i in range(8)]
+    m = Counter((a, b) for a, b in rows if a < b)
+    ids = sorted({v for e in m for v in e})
+    want = sum(m[a, b] * m[b, c] for a, b, c in combinations(ids, 3) if m[a, c])
+    df = spark.createDataFrame([*rows, (None, 3), (3, None)], "src long, dst long")
+    assert triangle_count(df).first()[0] == want
+    assert triangle_count(df.limit(0)).first()[0] == 0
+
+
+def test_walks_of_triangles_are_not_shuffled(spark):
+    from pyspark import SparkContext
+
+    # as for a table that is too large to broadcast
+    for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(name, "-1")
+    n = 260  # all pairs: 2.9 million walks
+    ids = spark.range(n).select(F.col("id").alias("src"))
+    df = ids.crossJoin(ids.withColumnRenamed("src", "dst"))
+    store = spark._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, SparkContext._gateway.new_array(SparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    try:
+        assert triangle_count(df).first()[0] == n * (n - 1) * (n - 2) // 6
+    finally:
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
+    assert written() - before < 15 * n * n
