@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from skein.operators.trade import admit, apply_trades, cancel_nodes, edge_probability, greedy_influencers, node_values, probability_totals, propose, quiesce, quiesce_serial
 
@@ -58,3 +59,20 @@ def test_greedy(spark):
     picks, left = greedy_influencers(sets, 3)
     assert [(r["node"], r["frequency"]) for r in picks.orderBy("pick").collect()] == [(6, 3), (5, 1), (7, 1)]
     assert left.selectExpr("count(distinct set_id)").first()[0] == 1
+
+
+def test_typed_edges_are_joined_and_counted_in_parts_by_rows(spark, monkeypatch):
+    from collections import Counter
+
+    from skein.plans import graphs as g
+    from skein.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(g, "ROWS", 400)
+    want = Counter(tuple(r) for r in g.typed_edges(spark, sf).collect())
+    got = QUERIES["typed_edges"](spark, sf)
+    parts = got.select(F.spark_partition_id().alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n")).collect()
+    assert Counter({tuple(r)[:5]: r["n"] for r in got.collect()}) == want
+    assert max(r["n"] for r in parts) < 2.5 * 2 * 400  # of SALE both ways; 4 partitions had thousands
+    ends = {(a, b) for _, a, b, _, _ in want} | {(a, b) for _, _, _, a, b in want}
+    assert {tuple(r) for r in QUERIES["node_extract"](spark, sf).collect()} == ends
